@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import op4_mixing
+from tidewire.llm import op2_tokens, op3_fingerprints, op4_mixing
 
-_MODULES = (op4_mixing,)
+_MODULES = (op2_tokens, op3_fingerprints, op4_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -122,10 +122,10 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int, fold: bool = False)
             got = np.sort(value[cut[i] : cut[i + 1]])
             out.append(got[np.r_[True, got[1:] != got[:-1]]])
         elif n:
-            short = np.uint64(n)
+            short = np.array([n], np.uint64)
             for w in words[rows[i] : rows[i + 1]]:
-                short = np.multiply(short, _ROLL) + w
-            out.append(mix(np.array([short], np.uint64)))
+                short = short * _ROLL + w
+            out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
