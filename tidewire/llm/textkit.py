@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+WORDS_AT_ONCE = 1 << 17
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = _BYTE.copy()
@@ -87,6 +88,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     """A hash of each word's bytes; ``fold`` takes A-Z as a-z."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(starts) > WORDS_AT_ONCE:  # bounded memory
+        cuts = range(0, len(starts), WORDS_AT_ONCE)
+        return np.concatenate([word_hashes(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], fold) for i in cuts])
     size = ends - starts
     first = np.cumsum(size) - size
     rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
