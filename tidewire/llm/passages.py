@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, expand, pack, read, scaled, shards, shrink, text_bytes
-from tidewire.llm.textkit import buffers, mix, windows, word_hashes, word_spans
+from tidewire.llm import sketch
+from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, pack, read, scaled, shards, text_bytes
+from tidewire.llm.textkit import buffers, windows, word_hashes, word_spans
 
 WINDOW = 13
-#: Counters a slice of the sketch, rows of the sketch, and the most counters a row: its broadcast has a bit for each.
-SLICE = 1 << 20
-DEPTH = 2
+#: Most counters on a line of the sketch; its broadcast has a bit for each.
 MAX_WIDTH = 1 << 28
 SHARD_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
@@ -25,10 +24,6 @@ def sketch_width(total_bytes: int) -> int:
     return min(MAX_WIDTH, max(1 << 16, total_bytes // 3))
 
 
-def spots(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    return scaled(hashes if row == 0 else mix(hashes ^ np.uint64(row * 0x9E3779B97F4A7C15 & (2**64 - 1))), width)
-
-
 class Windows:
     """All windows of a block: hash, first word and document of each, and each document's rank."""
 
@@ -54,36 +49,9 @@ def _sketches(blocks: DataFrame, width: int, k: int) -> DataFrame:
         for batch in batches:
             for payload in batch.column("payload"):
                 hashes, _, shared = Windows(read(payload.as_py()), k).distinct()
-                out = []
-                for row in range(DEPTH):
-                    at = spots(hashes, row, width)
-                    order = np.argsort(at, kind="stable")
-                    at, two = at[order], shared[order]
-                    a, b = cuts(at)
-                    at, two = at[a], (b - a > 1) | two[a]
-                    part = at // SLICE
-                    for x, y in zip(*cuts(part)):
-                        here, twice = at[x:y] - part[x] * SLICE, two[x:y]
-                        out.append((row, int(part[x]), shrink(here), shrink(here[twice])))
-                if out:
-                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["line", "slice", "once", "twice"])
-
-    return blocks.mapInArrow(run, "line int, slice int, once binary, twice binary")
-
-
-def _merge_sketches(parts: DataFrame) -> DataFrame:
-    """Bits of the counters that reach 2 over all partition sketches."""
-
-    def run(table: pa.Table) -> pa.Table:
-        count = np.zeros(SLICE, np.uint8)
-        for once, twice in zip(table.column("once").to_pylist(), table.column("twice").to_pylist()):
-            at = expand(once)
-            count[at] = np.minimum(count[at] + 1, 2)
-            count[expand(twice)] = 2
-        return pa.table({"line": table.column("line")[:1], "slice": table.column("slice")[:1], "bits": pa.array([np.packbits(count == 2).tobytes()], pa.binary())})
-
-    return parts.groupBy("line", "slice").applyInArrow(run, "line int, slice int, bits binary")
+                yield sketch.part(hashes, shared, width)
+
+    return blocks.mapInArrow(run, sketch.SCHEMA)
 
 
 def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_BYTES, max_width: int = MAX_WIDTH) -> DataFrame:
@@ -103,24 +71,13 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     n_shards = shards(docs, total, SHARD_BYTES)
     blocks = pack(docs, limit=block_bytes)
 
-    bits = [np.zeros(-(-width // SLICE) * SLICE // 8, np.uint8) for _ in range(DEPTH)]
-    merged = _merge_sketches(_sketches(blocks, width, k)).toArrow()
-    for line, part, data in zip(*(merged.column(c) for c in ("line", "slice", "bits"))):
-        start = part.as_py() * SLICE // 8
-        bits[line.as_py()][start : start + SLICE // 8] = np.frombuffer(data.as_buffer(), np.uint8)
-    del merged
-    shared = spark.sparkContext.broadcast([x.tobytes() for x in bits])
-    del bits
+    shared = spark.sparkContext.broadcast(sketch.collect(_sketches(blocks, width, k), width))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = [np.frombuffer(x, np.uint8) for x in shared.value]
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 hashes, ids, _ = Windows(read(payload.as_py()), k).distinct()
-                keep = np.ones(len(hashes), bool)
-                for row, line in enumerate(lines):
-                    at = spots(hashes, row, width)
-                    keep &= (line[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                keep = sketch.repeated(shared.value, hashes, width)
                 hashes, ids = hashes[keep], ids[keep]
                 to = scaled(hashes, n_shards)
                 runs = list(zip(*cuts(to)))

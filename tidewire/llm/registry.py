@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import op2_tokens, op3_fingerprints, op4_mixing, op5_language, op7_decontamination, op8_passages, op9_html, op10_toxicity
+from tidewire.llm import op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity
 
-_MODULES = (op2_tokens, op3_fingerprints, op4_mixing, op5_language, op7_decontamination, op8_passages, op9_html, op10_toxicity)
+_MODULES = (op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
