@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import sketch
 from tidewire.llm.blocks import column, cuts, scaled
+from tidewire.llm.bloom import may_have, membership
 from tidewire.llm.graph import components
 from tidewire.llm.tables import cut
-from tidewire.llm.textkit import buffers, chunks, mix, shingle_sets
+from tidewire.llm.textkit import buffers, chunks, shingle_sets
 
 #: One document of so many tells which shingles are frequent; the most frequent MAX_HINTS of them are broadcast.
 SAMPLE_ONE_IN = 16
@@ -183,41 +184,19 @@ def links_in_tile(sids: np.ndarray, comps: np.ndarray, arrays: list[np.ndarray],
     return out
 
 
-def bitmap(values: DataFrame, name: str, count: int) -> tuple[int, bytes]:
-    """Bounded Bloom filter with two positions of each long."""
-    width = min(MAX_WIDTH, max(1 << 16, 16 * count))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.unique(batch.column(0).drop_null().to_numpy().view(np.uint64))
-            yield sketch.part(np.unique(np.r_[mix(h), mix(~h)]), np.ones(len(np.unique(np.r_[mix(h), mix(~h)])), bool), width)
-
-    return width, sketch.collect(values.select(name).mapInArrow(run, sketch.SCHEMA), width)[0]
-
-
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Rows (sid, arr) of wanted sets (sid, rep), computed again from the text of document ``rep``.
 
     A Bloom filter of the wanted documents keeps others' texts out of that pass.
     """
-    width, bits = bitmap(wanted, "rep", wanted.count())
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    known = membership(wanted, "rep", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids = batch.column("doc_id")
-            h = pa.compute.fill_null(ids, 0).to_numpy().view(np.uint64)
-            keep = ids.is_null().to_numpy(zero_copy_only=False)
-            both = np.ones(len(h), bool)
-            for x in (mix(h), mix(~h)):
-                at = scaled(x, width)
-                both &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            sets = list(_sets(batch.column("text").filter(pa.array(keep | both)), k))
-            sets = [x for x in sets if len(x)]
+            sets = [x for x in _sets(batch.column("text"), k) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "arr"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "sid long, arr binary")
+    found = may_have(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", known, nulls=True).mapInArrow(run, "sid long, arr binary")
     return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 

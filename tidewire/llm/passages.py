@@ -54,16 +54,17 @@ def _sketches(blocks: DataFrame, width: int, k: int) -> DataFrame:
     return blocks.mapInArrow(run, sketch.SCHEMA)
 
 
-def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_BYTES, max_width: int = MAX_WIDTH) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_BYTES, max_width: int = MAX_WIDTH, keep_layout: bool = False) -> DataFrame:
     """Remove each word that a window of ``k`` words covers which also starts in a document of smaller doc_id.
 
     Windows are judged on the input. Returns all columns of ``docs`` (with doc_id and text), where ``text`` has the kept
-    words joined by one space, and ``n_words``, ``n_removed``. Null text stays null with 0 words. Rows of equal doc_id do
+    words joined by one space, and ``n_words``, ``n_removed``; with ``keep_layout`` a text that loses nothing stays as it
+    is. Null text stays null with 0 words. Rows of equal doc_id do
     not remove each other's words; a null doc_id comes after all others. Empty table: no rows.
 
     Three passes: partition sketches of window counts are merged into a bitmap of counters that reach two documents; only
-    windows whose counters all did are grouped exactly, by hash range, to find their least doc_id; each block gets the
-    windows that start in an earlier document elsewhere. 64-bit hashes stand for windows.
+    windows whose counters all did are grouped exactly, by hash range, to find their least doc_id; each block gets one bit
+    for every window that it asked about: whether an earlier document elsewhere has it. 64-bit hashes stand for windows.
     """
     spark = docs.sparkSession
     total = text_bytes(docs)
@@ -90,22 +91,16 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     def answer(table: pa.Table) -> pa.Table:
         hashes, sizes = column(table, "hashes", "u8")
         ids, _ = column(table, "ids", "i8")
-        owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(hashes, kind="stable")
         a, b = cuts(hashes[order])
         least = np.empty_like(ids)
         least[order] = np.repeat(np.minimum.reduceat(ids[order], a), b - a) if len(a) else ids[:0]
-        late = np.flatnonzero(least < ids)
-        runs = list(zip(*cuts(owner[late])))
-        blocks_of = table.column("block").to_pylist()
-        return pa.table({
-            "block": pa.array([blocks_of[owner[late[x]]] for x, _ in runs], pa.int64()),
-            "hashes": pa.array([hashes[late[x:y]].tobytes() for x, y in runs], pa.binary()),
-            "ids": pa.array([least[late[x:y]].tobytes() for x, y in runs], pa.binary()),
-        })
+        late, ends = least < ids, np.cumsum(sizes)
+        bits = [np.packbits(late[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
     asked = blocks.mapInArrow(ask, "shard int, block long, hashes binary, ids binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "block long, hashes binary, ids binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, "block long, shard int, n long, bits binary")
     names = docs.columns
     schema = docs.select("*").schema.add("n_words", "long").add("n_removed", "long")
     empty = pa.schema([(n, t) for n, t in _arrow_fields(docs)] + [("n_words", pa.int64()), ("n_removed", pa.int64())]).empty_table()
@@ -115,19 +110,17 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
             return empty
         table = read(block.column("payload")[0].as_py())
         w = Windows(table, k)
-        least = np.empty(len(w.hashes), np.int64)
-        order = np.lexsort((w.owner_id, w.hashes))
-        a, b = cuts(w.hashes[order])
-        least[order] = np.repeat(w.owner_id[order][a], b - a)
-        hashes, _ = column(got, "hashes", "u8")
-        ids, _ = column(got, "ids", "i8")
-        if len(hashes):
-            s = np.argsort(hashes)
-            hashes, ids = hashes[s], ids[s]
-            at = np.minimum(np.searchsorted(hashes, w.hashes), len(hashes) - 1)
-            least = np.where(hashes[at] == w.hashes, np.minimum(ids[at], least), least)
+        hashes, ids, _ = w.distinct()
+        here = np.searchsorted(hashes, w.hashes)
+        late = ids[here] < w.owner_id
+        asked = np.flatnonzero(sketch.repeated(shared.value, hashes, width))
+        rows = sorted(zip(got.column("shard").to_pylist(), got.column("n").to_pylist(), got.column("bits").to_pylist()))
+        if rows:
+            elsewhere = np.zeros(len(hashes), bool)
+            elsewhere[asked] = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=n) for _, n, bits in rows]) == 1
+            late |= elsewhere[here]
         edge = np.zeros(len(w.starts) + 1, np.int32)
-        bad = w.at[least < w.owner_id]
+        bad = w.at[late]
         np.add.at(edge, bad, 1)
         np.add.at(edge, bad + k, -1)
         gone = np.cumsum(edge[:-1]) > 0
@@ -140,7 +133,7 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
             n = int(drop.sum())
             if n:
                 words = [words[j] for j in np.flatnonzero(~drop)]
-            texts.append(b" ".join(words).decode())
+            texts.append((raw[w.offs[i] : w.offs[i + 1]] if keep_layout and not n else b" ".join(words)).decode())
             removed.append(n)
         valid = table.column("text").is_valid().to_numpy()
         new = pa.array([t if v else None for t, v in zip(texts, valid)], table.schema.field("text").type)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity
+import corpus_pipeline
+from tidewire.llm import op1_quality, op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity
 
-_MODULES = (op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity)
+_MODULES = (op1_quality, op2_tokens, op3_fingerprints, op4_mixing, op5_language, op6_jaccard, op7_decontamination, op8_passages, op9_html, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.query for m in _MODULES}
+    return {m.NAME: m.query for m in _MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

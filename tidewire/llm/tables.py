@@ -1,7 +1,9 @@
-"""Readers of the driver's tables, by Spark's own reader only."""
+"""Readers of the driver's tables, by Spark's own reader only, and the cluster's shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,10 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
     """Use the cluster's shared folder; only where it is unset (tests) take a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewire-checkpoints"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name for tables of one run in the shared folder."""
+    return f"{checkpoint_folder(spark)}/tidewire-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewire-checkpoints")
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
