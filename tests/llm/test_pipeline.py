@@ -31,7 +31,7 @@ def tables(spark, tmp_path_factory):
             for _ in range(4):
                 ws.insert(rng.randrange(len(ws)), rng.choice(["vileness", "vilest", "scoundrels"]))
         rows.append([i, " ".join(ws), "en", ["a", "b", None][i % 3]])
-        if i % 2 == 0:
+        if i % 4 < 2:
             labels.append((i, 1, int(toxic)))
     items = [" ".join(words(rng, 30)) for _ in range(3)]
     passage = words(rng, 40)

@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import cut
+from tidewire.llm.tables import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, comp) for all ends of edges (a, b): comp is the least id of the component.
 
-    Each round maps every vertex to the least vertex around it, follows that map twice, and contracts the edges. Only
-    sums by key and joins on it are needed; results are cut with checkpoints, and nothing is collected.
+    In each round every vertex points at the vertex of least rank around it, ranks being hashes anew each round; that map is
+    followed twice, and the edges are contracted. So the vertices of any component, long chains too, become fewer by a
+    constant factor a round. Only sums by key and joins on it are needed; results are written tables, nothing is collected.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     assign = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("comp", F.col("id"))
+    number = 0
     while not edges.isEmpty():
-        around = edges.union(edges.select("b", "a"))
-        step = around.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
+        around = edges.union(edges.select("b", "a")).toDF("v", "u")
+        own, other = (F.struct(F.xxhash64(F.lit(number), c).alias("rank"), F.col(c).alias("id")) for c in ("v", "u"))
+        step = around.groupBy("v").agg(F.min(other).alias("best")).select("v", F.least(own, "best")["id"].alias("p"))
         far = step.select(F.col("v").alias("w"), F.col("p").alias("q"))
-        step = cut(step.join(far, F.col("p") == F.col("w"), "left").select("v", F.least("p", "q").alias("p")))
-        assign = cut(assign.join(step, F.col("comp") == F.col("v"), "left").select("id", F.coalesce("p", "comp").alias("comp")))
+        step = stored(step.join(far, F.col("p") == F.col("w"), "left").select("v", F.col("q").alias("p")))
+        assign = stored(assign.join(step, F.col("comp") == F.col("v"), "left").select("id", F.coalesce("p", "comp").alias("comp")))
         x, y = step.toDF("v1", "p1"), step.toDF("v2", "p2")
         mapped = edges.join(x, F.col("a") == F.col("v1")).join(y, F.col("b") == F.col("v2"))
-        edges = cut(mapped.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).where("a <> b").distinct())
-    return assign
+        edges = stored(mapped.select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).where("a <> b").distinct())
+        number += 1
+    least = assign.groupBy("comp").agg(F.min("id").alias("least"))
+    return stored(assign.join(least, "comp").select("id", F.col("least").alias("comp")))

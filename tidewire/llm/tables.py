@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it: like ``cut``, but the planner knows its size afterwards."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
