@@ -63,7 +63,7 @@ class Model:
 
 def counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and the number of documents that have each."""
-    return np.unique(np.concatenate([np.zeros(0, np.int64), *map(np.unique, docs)]), return_counts=True)
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *docs]), return_counts=True)
 
 
 def associated(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: float = 6.0, most: int = MAX_FEATURES) -> np.ndarray:
@@ -82,18 +82,17 @@ def associated(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: floa
     return np.sort(ids[best])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, steps: int = 300, rate: float = 0.06, decay: float = 1e-4) -> Model:
-    """One classifier by Adam over a random nine tenths of both kinds; documents are arrays of feature hashes.
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], kept: np.ndarray, prior: float, seed: int = 0, steps: int = 300, rate: float = 0.06, decay: float = 1e-4) -> Model:
+    """One classifier by Adam over a random nine tenths of both kinds; documents are arrays of ``kept`` features.
 
     Without positives, or with prior 0, every score is close to 0.
     """
     if not positive or not unlabelled or prior <= 0:
         return Model({}, -12.0)
     rng = np.random.default_rng(seed)
-    kept = associated(positive, unlabelled)
     parts = [[x[i] for i in np.sort(rng.permutation(len(x))[: max(1, len(x) * 9 // 10)])] for x in (positive, unlabelled)]
     n_pos, n = len(parts[0]), len(parts[0]) + len(parts[1])
-    docs = [np.searchsorted(kept, x[np.isin(x, kept)]) for x in [*parts[0], *parts[1]]]
+    docs = [np.searchsorted(kept, x) for x in [*parts[0], *parts[1]]]
     sizes = np.array([len(x) for x in docs])
     flat, owner = np.concatenate(docs).astype(np.int64), np.repeat(np.arange(n), sizes)
     is_p = np.arange(n) < n_pos
@@ -138,13 +137,15 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, usable: Column, c
             rows = []
             for text in batch.column("text").to_pylist():
                 words = sorted(set(WORD.findall((text or "").lower())), key=lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")))[:FIT_WORDS]
-                rows.append(np.array([f for x in words for f in features(x)], np.uint32).tobytes())
+                rows.append(np.unique(np.array([f for x in words for f in features(x)], np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array(rows, pa.binary())], ["role", "ids"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("role", "text").mapInArrow(run, "role int, ids binary").collect()
     sample.sort(key=lambda r: bytes(r.ids))
-    parts = [[np.frombuffer(r.ids, np.uint32).astype(np.int64) for r in sample if r.role == k] for k in (1, 0)]
-    models = [fit(*parts, prior, seed) for seed in range(classifiers)]
+    parts = [[np.frombuffer(r.ids, np.uint32) for r in sample if r.role == k] for k in (1, 0)]
+    kept = associated(*parts) if all(parts) else np.zeros(0, np.uint32)
+    parts = [[x[np.isin(x, kept)] for x in part] for part in parts]
+    models = [fit(*parts, kept, prior, seed) for seed in range(classifiers)]
     return mean(models)
 
 
