@@ -185,25 +185,26 @@ def links_in_tile(sids: np.ndarray, comps: np.ndarray, arrays: list[np.ndarray],
 
 
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (sid, arr) of wanted sets (sid, rep), computed again from the text of document ``rep``.
+    """Rows (found, rep, arr) of at least the wanted sets (sid, rep), computed again from the text of document ``rep``.
 
-    A Bloom filter of the wanted documents keeps others' texts out of that pass.
+    A Bloom filter of the wanted documents keeps nearly all others' texts out of that pass; a join drops the rest.
     """
     known = membership(wanted, "rep", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [x for x in _sets(batch.column("text"), k) if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "arr"])
+            sets = list(_sets(batch.column("text"), k))
+            rows = pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), batch.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["found", "rep", "arr"])
+            yield rows.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
 
-    found = may_have(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", known, nulls=True).mapInArrow(run, "sid long, arr binary")
-    return found.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+    return may_have(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", known, nulls=True).mapInArrow(run, "found long, rep long, arr binary")
 
 
-def tile_links(members: DataFrame, comps: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def tile_links(members: DataFrame, comps: DataFrame, ids: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) from rows (tile, part, sid): tiles are packed into tasks by hash; a tile's parts are apart."""
     spark = members.sparkSession
-    rows = members.join(arrays, "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+    rows = members.join(ids.withColumnRenamed("rep", "of"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+    rows = rows.join(arrays, (F.col("sid") == F.col("found")) & F.col("of").eqNullSafe(F.col("rep")))
     rows = rows.select(F.xxhash64("tile", "part").alias("tile"), "sid", F.coalesce("comp", "sid").alias("comp"), "arr")
     tasks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // CHUNK_SETS)
 
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
     parts = F.ceil(F.greatest(F.col("elements") / CHUNK_ELEMENTS, F.col("sets") / (4 * CHUNK_SETS)))
     members = cut(sets.join(groups, "first").select(F.col("first").alias("tile"), F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"), "sid"))
     arrays = set_arrays(docs, ids.join(members.select("sid"), "sid", "left_semi"), k)
-    edges = cut(tile_links(members, none, arrays, percent))
+    edges = cut(tile_links(members, none, ids, arrays, percent))
     comps = components(edges)
 
     # the best-linked sets of components that share prefix shingles, then all sets of different components that do
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
         if members.isEmpty():
             break
         arrays = set_arrays(docs, ids.join(members.select("sid"), "sid", "left_semi"), k)
-        edges = cut(edges.union(tile_links(members, comps, arrays, percent)))
+        edges = cut(edges.union(tile_links(members, comps, ids, arrays, percent)))
         comps = components(edges)
 
     least = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")).join(comps, F.col("sid") == F.col("id"), "left")
