@@ -9,6 +9,9 @@ Groups of copies make many equal links. Exact copies are one set. Other sets fir
 only the best-linked set of each component meets others; last, all pairs of sets that still lie in different components and
 share a prefix shingle are compared. A tile never compares inside a component, so its work does not grow with
 the square of a group of copies.
+
+Before sets' arrays go to the tiles of a round, bitmaps sized to the sets go there: only sets that by their bitmaps may
+have a link in a tile are sent whole.
 """
 
 from __future__ import annotations
@@ -62,6 +65,45 @@ def _sets(column_: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k, fold=True)
 
 
+def signature(values: np.ndarray) -> bytes:
+    """Bitmap of a set's hashes by their upper bits; it has twice to four times as many bits as the set has hashes, 64 at least."""
+    level = max(6, (2 * len(values) - 1).bit_length())
+    marks = np.zeros(1 << level, bool)
+    marks[(values >> np.uint64(64 - level)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def may_link(comps: np.ndarray, n: np.ndarray, signs: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a tile may, by the bitmaps' bound on overlaps, be similar to one of another component there.
+
+    Bitmaps of similar sets have equal widths or one has twice the other's bits and is folded; that needs 50 percent or more.
+    """
+    keep, width = np.zeros(len(n), bool), np.array([len(x) for x in signs], np.int64)
+    for w in np.unique(width):
+        narrow, wide = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        bits = np.frombuffer(b"".join(signs[i] for i in narrow), np.uint8).reshape(-1, w)
+        if len(wide):
+            pairs = np.unpackbits(np.frombuffer(b"".join(signs[i] for i in wide), np.uint8)).reshape(len(wide), 8 * w, 2)
+            bits = np.concatenate([bits, np.packbits(pairs.any(2), axis=1)])
+        at = np.r_[narrow, wide]
+        order = np.argsort(n[at], kind="stable")
+        at, bits = at[order], np.ascontiguousarray(bits[order]).view(np.uint64)
+        size, comp, step = n[at], comps[at], max(1, (8 << 20) // int(w))
+        for p in np.flatnonzero(width[at] == w):
+            low, high = np.searchsorted(size, -(-percent * size[p] // 100), "left"), np.searchsorted(size, 100 * size[p] // percent, "right")
+            for first in range(low, high, step):
+                x = np.arange(first, min(first + step, high))
+                x = x[comp[x] != comp[p]]
+                x = x[~keep[at[x]]] if keep[at[p]] else x
+                if not len(x):
+                    continue
+                most = np.minimum(size[p] - np.bitwise_count(bits[p] & ~bits[x]).sum(1, dtype=np.int64), size[x] - np.bitwise_count(bits[x] & ~bits[p]).sum(1, dtype=np.int64))
+                hit = x[most >= needed(size[p], size[x], percent)]
+                if len(hit):
+                    keep[at[p]] = keep[at[hit]] = True
+    return keep
+
+
 def frequent_shingles(docs: DataFrame, k: int, one_in: int = SAMPLE_ONE_IN, most: int = MAX_HINTS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several sampled documents have, and log2 of their counts. A hint for the order only."""
 
@@ -91,19 +133,20 @@ def in_order(values: np.ndarray, hints: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def document_sets(docs: DataFrame, k: int, percent: int, hints: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Rows (doc_id, n, sid, prefix): size and id of each document's shingle set, and its prefix in the common order."""
+    """Rows (doc_id, n, sid, prefix, sign): size and id of each document's shingle set, its prefix in the common order, its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(hints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sid, prefix = [], [], []
+            n, sid, prefix, sign = [], [], [], []
             for values in _sets(batch.column("text"), k):
                 n.append(len(values))
                 sid.append(set_id(values))
                 prefix.append(in_order(values, shared.value)[: prefix_length(len(values), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "sid", "prefix"])
+                sign.append(signature(values))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n", "sid", "prefix", "sign"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sid long, prefix binary, sign binary")
 
 
 def shared_prefixes(sets: DataFrame, count: int) -> DataFrame:
@@ -125,11 +168,11 @@ def shared_prefixes(sets: DataFrame, count: int) -> DataFrame:
             new = [values[e - s : e][keep[e - s : e]] for s, e in zip(sizes, ends)]
             rows = pa.RecordBatch.from_arrays([
                 batch.column("sid"), batch.column("rep"), batch.column("n"), pa.array([x.tobytes() for x in new], pa.binary()),
-                pa.array([int(x[0].view(np.int64)) if len(x) else None for x in new], pa.int64()),
-            ], names=["sid", "rep", "n", "prefix", "first"])
+                pa.array([int(x[0].view(np.int64)) if len(x) else None for x in new], pa.int64()), batch.column("sign"),
+            ], names=["sid", "rep", "n", "prefix", "first", "sign"])
             yield rows.filter(pa.array([len(x) > 0 for x in new]))
 
-    return sets.select("sid", "rep", "n", "prefix").mapInArrow(run, "sid long, rep long, n long, prefix binary, first long")
+    return sets.select("sid", "rep", "n", "prefix", "sign").mapInArrow(run, "sid long, rep long, n long, prefix binary, first long, sign binary")
 
 
 def links_in_tile(sids: np.ndarray, comps: np.ndarray, arrays: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -184,6 +227,21 @@ def links_in_tile(sids: np.ndarray, comps: np.ndarray, arrays: list[np.ndarray],
     return out
 
 
+def promising(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those rows (tile, part, sid) whose set may have a link in its tile, by bitmaps only."""
+    rows = members.join(sets.select("sid", "n", "sign"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
+    rows = rows.select("tile", "part", "sid", "n", "sign", F.coalesce("comp", "sid").alias("comp"), F.xxhash64("tile", "part").alias("key"))
+    tasks = max(4 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // CHUNK_SETS)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("key").to_numpy(), kind="stable"))
+        comp, n, signs = table.column("comp").to_numpy(), table.column("n").to_numpy(), table.column("sign").to_pylist()
+        keep = [may_link(comp[a:b], n[a:b], signs[a:b], percent) for a, b in zip(*cuts(table.column("key").to_numpy()))]
+        return table.select(["tile", "part", "sid"]).filter(pa.array(np.concatenate(keep)))
+
+    return rows.withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInArrow(run, "tile long, part int, sid long")
+
+
 def set_arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Rows (found, rep, arr) of at least the wanted sets (sid, rep), computed again from the text of document ``rep``.
 
@@ -281,11 +339,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
 
     A-Z are taken as a-z; a set has the distinct ``k``-word shingles, of fewer words the whole sequence. Documents
     without words (or text) have no shingles, are linked with nothing and are their own component. Links: similarity of at
-    least ``percent``. Repeated rows each give a row; null doc_ids give rows but no component id of their own.
+    least ``percent``, which is 50 or more. Repeated rows each give a row; null doc_ids give rows but no component id of their own.
     """
+    if percent < 50:
+        raise ValueError("percent must be 50 or more")
     hints = frequent_shingles(docs, k, one_in)
     rows = cut(document_sets(docs, k, percent, hints))
-    whole = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    whole = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sign").alias("sign"))
     total = rows.agg(F.sum(F.length("prefix") / 8).cast("long").alias("n")).first().n or 0
     sets = cut(shared_prefixes(whole, total))
     ids = sets.select("sid", "rep")
@@ -306,9 +366,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
             ends = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count("*").alias("links"))
             hubs = ends.join(comps, "id").groupBy(F.col("comp").alias("sid")).agg(F.max_by("id", F.struct("links", "id")).alias("hub"))
             members = members.join(hubs, "sid", "left").select("tile", "part", F.coalesce("hub", "sid").alias("sid"))
-        members = cut(members)
+        members = cut(promising(cut(members), comps, sets, percent))
         if members.isEmpty():
-            break
+            continue
         arrays = set_arrays(docs, ids.join(members.select("sid"), "sid", "left_semi"), k)
         edges = cut(edges.union(tile_links(members, comps, ids, arrays, percent)))
         comps = components(edges)
