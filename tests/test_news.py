@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -68,6 +69,30 @@ def test_feeds(spark):
     assert sorted((r.source_id, r.title) for r in feeds.json_items(js).collect()) == [("j", "A"), ("k", "B")]
 
 
+def test_nearest_unit_of_all_units(spark, tmp_path):
+    from tidewire.plans import news
+
+    rng, names = random.Random(3), ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    people = [(k, names[rng.randrange(5)]) for k in range(300)] + [(300, None)]
+    parts = [(k, rng.randrange(1, 9)) for k in range(5000)]
+    spark.createDataFrame(people, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for k, name in people:
+        lat, lng = k % 90, k % 170
+        near = [((lat - p % 90) ** 2 + (lng - p % 170) ** 2, p) for p, size in parts if names[p % 5] == name and abs(lat - p % 90) <= size and abs(lng - p % 170) <= size]
+        if near:
+            want[k] = min(near)[1]
+    assert {r.point_id: r.unit_id for r in news.nearest_unit(spark, str(tmp_path)).collect()} == want and max(want.values()) > 2000
+
+
+def test_nearest_unit_at_edges(spark):
+    points = spark.createDataFrame([(1, "n", -10.0, 10.0), (2, "n", -0.5, 180.0), (2, "n", 5.0, 5.0), (3, "n", None, 1.0), (4, "m", 5.0, 5.0)], "point_id long, name string, lat double, lng double")
+    units = [(7, "n", -30.0, -10.0, 10.0, 10.0), (8, "n", -10.0, 25.0, -180.0, 180.0), (9, "n", 4.0, 6.0, 4.0, 6.0), (10, "n", 4.0, 6.0, 4.0, 6.0), (11, "n", 6.0, 4.0, 4.0, 6.0), (12, "m", None, 6.0, 4.0, 6.0)]
+    units = spark.createDataFrame(units, "unit_id long, name string, min_lat double, max_lat double, min_lng double, max_lng double")
+    assert {r.point_id: r.unit_id for r in signals.nearest_unit(points, units).collect()} == {1: 7, 2: 9}
+
+
 def test_cadence_over_batches(spark, tmp_path):
     assert cadence.next_interval(1000, 0, 0, True, 5, 10) == (700, 0, 0) and cadence.next_interval(1000, 0, 0, True, 1, 10) == (850, 0, 0)
     assert cadence.next_interval(1000, 2, 1, True, 0, 9) == (1500, 3, 0) and cadence.next_interval(1000, 2, 1, False, 0, 0) == (1000, 2, 2)

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOWS = (6, 12, 24, 48)
+#: Side of the grid cells by which points meet boxes.
+CELL_DEGREES = 10
 
 
 def density(events: DataFrame, as_of: datetime, hours: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -108,9 +110,18 @@ def interleave(entries: DataFrame, page_size: int = 12) -> DataFrame:
 def nearest_unit(points: DataFrame, units: DataFrame) -> DataFrame:
     """Rows (point_id, unit_id): of the units of a point's name whose box holds it, the one with the nearest centre.
 
-    points: point_id, name, lat, lng; units: unit_id, name, min_lat, max_lat, min_lng, max_lng. An equi join on names with a
-    range condition; points without a unit are left out.
+    points: point_id, name, lat, lng; units: unit_id, name, min_lat, max_lat, min_lng, max_lng, in degrees. An equi join on
+    names and grid cells, each box in every cell that it covers, with the box test on top. Points of one place are asked
+    for once, and of units with the same name and box only the least unit_id can be nearest. Points without a unit are
+    left out.
     """
-    inside = points.join(units, "name").where("lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng")
+    cell = lambda c: F.floor(F.col(c) / CELL_DEGREES)
+    box = ["min_lat", "max_lat", "min_lng", "max_lng"]
+    boxes = units.where("min_lat <= max_lat AND min_lng <= max_lng").groupBy("name", *box).agg(F.min("unit_id").alias("unit_id"))
+    for axis in ("lat", "lng"):
+        boxes = boxes.withColumn(f"{axis}_cell", F.explode(F.sequence(cell(f"min_{axis}"), cell(f"max_{axis}"))))
+    places = points.select("name", "lat", "lng").distinct().withColumn("lat_cell", cell("lat")).withColumn("lng_cell", cell("lng"))
+    inside = places.join(boxes, ["name", "lat_cell", "lng_cell"]).where("lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng")
     far = F.pow(F.col("lat") - (F.col("min_lat") + F.col("max_lat")) / 2, 2) + F.pow(F.col("lng") - (F.col("min_lng") + F.col("max_lng")) / 2, 2)
-    return inside.groupBy("point_id").agg(F.min_by("unit_id", F.struct(far, F.col("unit_id"))).alias("unit_id"))
+    nearest = inside.groupBy("name", "lat", "lng").agg(F.min(F.struct(far.alias("far"), "unit_id")).alias("best"))
+    return points.join(nearest, ["name", "lat", "lng"]).groupBy("point_id").agg(F.min("best").getField("unit_id").alias("unit_id"))

@@ -127,7 +127,7 @@ SELECT point_id, first(unit_id ORDER BY pow(lat - (a + b) / 2, 2) + pow(lng - (c
 def nearest_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size, names = F.col("p_partkey"), F.col("p_size").cast("double"), F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), F.col("c_mktsegment").alias("name"), (F.col("c_custkey") % 90).cast("double").alias("lat"), (F.col("c_custkey") % 170).cast("double").alias("lng"))
-    units = table(spark, sf_dir, "part").where("p_partkey <= 2000").select(  # the outlines are a dimension of fixed size
+    units = table(spark, sf_dir, "part").select(
         key.alias("unit_id"), F.element_at(names, (key % 5 + 1).cast("int")).alias("name"), (key % 90 - size).alias("min_lat"), (key % 90 + size).alias("max_lat"), (key % 170 - size).alias("min_lng"), (key % 170 + size).alias("max_lng"))
     return signals.nearest_unit(points, units)
 
