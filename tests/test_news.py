@@ -93,6 +93,18 @@ def test_nearest_unit_at_edges(spark):
     assert {r.point_id: r.unit_id for r in signals.nearest_unit(points, units).collect()} == {1: 7, 2: 9}
 
 
+def test_feed_summaries_whole_and_titled_items_counted(spark):
+    block = "<item><title>{}</title><description>{}</description></item>"
+    late = "<rss>" + "".join(block.format(f"t{i}" if i >= 60 else "", "s") for i in range(210)) + "</rss>"
+    full = "<rss>" + "".join(block.format(f"t{i}", "s") for i in range(200)) + "</rss>"
+    long = "<rss>" + block.format("t", "word " * 2000) + "</rss>"
+    rows = spark.createDataFrame([("late", late), ("full", full), ("full", full), ("long", long)], "source_id string, body string")
+    got = feeds.xml_items(rows).collect()
+    assert [r.ordinal for r in got if r.source_id == "late"] == list(range(60, 200))
+    assert sorted(r.ordinal for r in got if r.source_id == "full") == sorted([*range(150), *range(150)])
+    assert [r.summary for r in got if r.source_id == "long"] == [("word " * 2000).strip()]
+
+
 def test_cadence_over_batches(spark, tmp_path):
     assert cadence.next_interval(1000, 0, 0, True, 5, 10) == (700, 0, 0) and cadence.next_interval(1000, 0, 0, True, 1, 10) == (850, 0, 0)
     assert cadence.next_interval(1000, 2, 1, True, 0, 9) == (1500, 3, 0) and cadence.next_interval(1000, 2, 1, False, 0, 0) == (1000, 2, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most blocks scanned, items kept and JSON rows read of a feed; longest title and summary.
+#: Most blocks scanned, items kept and JSON rows read of a feed; longest title, and summary of a JSON row.
 MAX_BLOCKS, MAX_ITEMS, MAX_ROWS, MAX_TITLE, MAX_SUMMARY = 200, 150, 100, 500, 4000
 ENVELOPES = ("items", "articles", "results", "data", "entries")
 
@@ -42,18 +42,20 @@ def ttl_seconds(body: Column) -> Column:
 def xml_items(feeds: DataFrame) -> DataFrame:
     """Rows (source_id, ordinal, guid, title, link, summary, published) of RSS, RDF and Atom bodies.
 
-    Items without a title are left out; other bodies have no items. feeds: source_id, body.
+    Items without a title are left out and don't count as items kept; summaries are whole; other bodies have no items.
+    feeds: source_id, body.
     """
     blocks = F.slice(F.regexp_extract_all("body", F.lit(r"(?is)<((?:item|entry)(?:\s[^>]*)?>.*?)</(?:item|entry)\s*>"), F.lit(1)), 1, MAX_BLOCKS)
-    rows = feeds.where(body_kind(F.col("body")).isin("rss", "atom")).select("source_id", F.posexplode(blocks).alias("ordinal", "block"))
+    title = lambda b: F.substring(clean(tag(b, "title")), 1, MAX_TITLE)
+    titled = F.filter(F.transform(blocks, lambda b, i: F.struct(i.alias("ordinal"), b.alias("block"), title(b).alias("title"))), lambda x: x["title"] != "")
+    rows = feeds.where(body_kind(F.col("body")).isin("rss", "atom")).select("source_id", F.inline(F.slice(titled, 1, MAX_ITEMS)))
     block = F.col("block")
     href = F.coalesce(*(F.nullif(F.regexp_extract(block, p, 1), F.lit("")) for p in (r'(?i)<link[^>]*rel=["\']alternate["\'][^>]*href=["\']([^"\']+)', r'(?i)<link[^>]*href=["\']([^"\']+)')))
-    out = rows.select(
-        "source_id", "ordinal", tag(block, "guid", "id").alias("guid"), F.substring(clean(tag(block, "title")), 1, MAX_TITLE).alias("title"),
+    return rows.select(
+        "source_id", "ordinal", tag(block, "guid", "id").alias("guid"), "title",
         F.replace(F.coalesce(href, tag(block, "link")), F.lit("&amp;"), F.lit("&")).alias("link"),
-        F.substring(clean(tag(block, "description", "summary", "content", "encoded")), 1, MAX_SUMMARY).alias("summary"), tag(block, "pubDate", "published", "updated", "date").alias("published"),
+        clean(tag(block, "description", "summary", "content", "encoded")).alias("summary"), tag(block, "pubDate", "published", "updated", "date").alias("published"),
     )
-    return out.where((F.col("title") != "") & (F.col("ordinal") < MAX_ITEMS))
 
 
 def json_items(feeds: DataFrame) -> DataFrame:
