@@ -89,3 +89,20 @@ def test_quantile_of_each_language(spark):
     rows = [("en", i / 100) for i in range(1, 101)] + [(None, 5.0)] * 3 + [("de", None)]
     got = {r.lang: r.threshold for r in quality.language_thresholds(spark.createDataFrame(rows, "lang string, log_perplexity double"), 0.9, 1.0).collect()}
     assert got[None] == pytest.approx(5, abs=1 / 128) and got["en"] == pytest.approx(0.9, abs=1 / 100) and set(got) == {"en", None}
+
+
+def test_floor_and_threshold_are_quantiles(spark):
+    rows = [("en", i / 100) for i in range(1, 201)] + [(None, 5.0)] * 3
+    scores = spark.createDataFrame(rows, "lang string, log_perplexity double")
+    got = {r.lang: r for r in quality.language_thresholds(scores, low=0.05).collect()}
+    assert got["en"].threshold == pytest.approx(1.98, abs=1 / 100) and got["en"].floor == pytest.approx(0.1, abs=1 / 100)
+    assert got[None].floor <= 5 <= got[None].threshold and all(r.floor is None for r in quality.language_thresholds(scores).collect())
+
+
+def test_repeated_words_are_dropped(spark):
+    rng = random.Random(5)
+    rows = [(i, sentence(rng, 60), ["en", None][i % 2]) for i in range(800)] + [(1000 + i, " ".join([w] * 80), ["en", None, "fr"][i % 3]) for i, w in enumerate("der die und of the".split())] + [(2000, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in quality.classify(docs, spark.range(700).toDF("doc_id"), low=0.02).collect()}
+    assert not any(r.keep for i, r in out.items() if i >= 1000) and sum(r.keep for i, r in out.items() if i < 800) > 720
+    assert all(r.keep == (r.perplexity is not None and r.floor <= r.perplexity <= r.threshold) for r in out.values())

@@ -35,8 +35,10 @@ BLOCKS_AT_ONCE = 256
 HELD_OUT = 8
 #: Share of held-out trusted documents of a language that lies below its threshold.
 QUANTILE = 0.99
-#: A threshold lies so many times as far above the median as that quantile does.
-SPREAD = 2.0
+#: A threshold lies so many times as far above the median as that quantile does; 1 is the quantile itself.
+SPREAD = 1.0
+#: Share of held-out trusted documents of a language that lies below its floor, where one is asked for.
+LOW_QUANTILE = 0.01
 #: Thresholds are upper ends of steps of this size in log perplexity.
 STEPS = 256
 #: Most languages whose thresholds are broadcast; with more they are joined by shuffle.
@@ -264,26 +266,28 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, lang string, n_tokens long, log_perplexity double")
 
 
-def language_thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD) -> DataFrame:
-    """Rows (lang, threshold) for each language, null included: ``median + spread * (quantile - median)`` of ``log_perplexity``.
+def language_thresholds(trusted_scores: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD, low: float = 0.0) -> DataFrame:
+    """Rows (lang, threshold, floor) for each language, null included: ``median + spread * (quantile - median)`` of ``log_perplexity``, and its quantile ``low``.
 
-    Both are upper ends of steps. Counts are summed by step first, so a language's rows are bounded by its steps, however
-    many documents it has.
+    A threshold is the upper end of a step, a floor the lower end. Without ``low`` floors are null. Counts are summed by
+    step first, so a language's rows are bounded by its steps, however many documents it has.
     """
     steps = trusted_scores.where("log_perplexity IS NOT NULL").withColumn("step", F.floor(F.col("log_perplexity") * STEPS).cast("long"))
     steps = steps.groupBy("lang", "step").agg(F.count("*").alias("n"))
     share = F.sum("n").over(W.partitionBy("lang").orderBy("step")) / F.sum("n").over(W.partitionBy("lang"))
     steps = steps.withColumn("share", share)
-    ends = steps.groupBy("lang").agg(*(F.min(F.when(F.col("share") >= q, F.col("step"))).alias(name) for name, q in (("mid", 0.5), ("far", quantile))))
-    return ends.select("lang", ((F.col("mid") + spread * (F.col("far") - F.col("mid")) + 1) / STEPS).alias("threshold"))
+    ends = steps.groupBy("lang").agg(*(F.min(F.when(F.col("share") >= q, F.col("step"))).alias(name) for name, q in (("near", low), ("mid", 0.5), ("far", quantile))))
+    floor = F.col("near") / STEPS if low else F.lit(None).cast("double")
+    return ends.select("lang", ((F.col("mid") + spread * (F.col("far") - F.col("mid")) + 1) / STEPS).alias("threshold"), floor.alias("floor"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """Rows (doc_id, lang, n_tokens, perplexity, threshold, keep) of every document.
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, low: float = 0.0) -> DataFrame:
+    """Rows (doc_id, lang, n_tokens, perplexity, threshold, keep) of every document; with ``low`` also floor, before keep.
 
-    trusted_ids: doc_id of trusted documents. One in HELD_OUT of them, by doc_id, only sets its language's threshold; a
-    language without any takes the highest of all languages. ``keep``: the perplexity is at most the threshold; false for
-    texts without tokens, true for others if nothing is trusted. Repeated and null doc_ids give a row each.
+    trusted_ids: doc_id of trusted documents. One in HELD_OUT of them, by doc_id, only sets its language's limits; a
+    language without any takes the widest of all languages. ``keep``: the perplexity is at most the threshold and, with
+    ``low``, at least the floor; false for texts without tokens, true for others if nothing is trusted. Repeated and null
+    doc_ids give a row each.
     """
     ids = trusted_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
@@ -292,13 +296,14 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     for_counts = known.where("NOT held").select("doc_id")
     trusted = may_have(text, "doc_id", membership(for_counts, "doc_id", for_counts.count())).join(for_counts, "doc_id", "left_semi")
     scored = cut(perplexities(docs, trusted, order))
-    thresholds = cut(language_thresholds(scored.join(known.where("held"), "doc_id", "left_semi"), quantile))
-    highest = thresholds.agg(F.max("threshold").alias("t")).first().t
+    thresholds = cut(language_thresholds(scored.join(known.where("held"), "doc_id", "left_semi"), quantile, low=low))
+    widest = thresholds.agg(F.max("threshold").alias("t"), F.min("floor").alias("f")).first()
     small = thresholds.count() <= MAX_BROADCAST_LANGS
     named = (F.broadcast(thresholds) if small else thresholds).withColumnRenamed("lang", "of")
     out = scored.join(named, F.col("lang").eqNullSafe(F.col("of")), "left")
-    limit = F.coalesce("threshold", F.lit(highest).cast("double"))
+    limit, floor = F.coalesce("threshold", F.lit(widest.t).cast("double")), F.coalesce("floor", F.lit(widest.f).cast("double"))
+    inside = (F.col("log_perplexity") <= F.coalesce(limit, F.lit(float("inf")))) & (F.col("log_perplexity") >= F.coalesce(floor, F.lit(float("-inf"))))
     return out.select(
         "doc_id", "lang", "n_tokens", F.exp("log_perplexity").alias("perplexity"), F.exp(limit).alias("threshold"),
-        F.coalesce(F.col("log_perplexity") <= F.coalesce(limit, F.lit(float("inf"))), F.lit(False)).alias("keep"),
+        *([F.exp(floor).alias("floor")] if low else []), F.coalesce(inside, F.lit(False)).alias("keep"),
     )
