@@ -57,6 +57,19 @@ def test_reader():
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_unclosed_elements_lose_nothing():
+    text = lambda h: join(parse(h), [True] * len(parse(h).nodes))
+    for name in "button object canvas audio video select datalist svg".split():
+        assert text(f"<p>a</p><{name} class=x>no</{name}><p>b</p>") == "a\nb"
+        assert text(f"<p>a</p><{name}><p>b</p>") == "a\nb"
+        assert text(f"<{name}><p>a</p><{name}>no</{name}><p>b</p>") == "a\nb"
+        assert text(f"<{name}>no <{name}>no</{name}> no</{name}>c") == "c"
+    for name in "script style iframe textarea".split():
+        assert text(f"<p>a</p><{name}><p>b</p>") == "a"
+    assert text("<svg/>a<svg><path/></svg>b<!-- <svg> --><button>no<script>'</button>'</script></button>c") == "abc"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> holds") == "so x=2 holds"
+
+
 def test_extract_rows(spark, model):
     article = "<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>The title of it</h1><p>" + "A sentence, of some length. " * 8 + "</p><p>Short.</p></article><section class=comments><p>I read it and liked it, really.</p></section><footer>&copy; us</footer>"
     rows = [(1, "u", article), (1, "u", article), (2, None, None), (3, "v", ""), (4, "w", "<p>" + "word " * 60000 + "</p>" )]

@@ -9,10 +9,12 @@ from dataclasses import dataclass, field
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|data-content)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
-#: Fixed values of the HTML standard: elements without content, and elements whose content is not markup.
+#: Fixed values of the HTML standard: elements without content, and elements whose content is not shown or not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select button datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
+RAW = frozenset("script style noscript template iframe title textarea".split())
+#: Elements left out with their content if they are closed; unclosed ones are read on as any element.
+SKIPPED = frozenset("object svg canvas audio video select button datalist annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 #: An opening tag on the left closes open elements on the right.
 _CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -36,6 +38,33 @@ class Page:
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+def raw_end(source: str, name: str, at: int) -> int:
+    """The place after the end tag of a RAW element, or the end of the page."""
+    stop = re.compile(f"</{name}\\s*>", re.I).search(source, at)
+    return stop.end() if stop else len(source)
+
+
+def skipped_ends(source: str) -> dict[int, int]:
+    """For each SKIPPED element that is closed: the place after its end tag, by the place after its start tag."""
+    ends: dict[int, int] = {}
+    started: dict[str, list[int]] = {}
+    at = 0
+    while tag := _TAG.search(source, at):
+        at = tag.end()
+        name = (tag[2] or "").lower()
+        if not tag[4]:
+            continue
+        if name in RAW and not tag[1]:
+            at = raw_end(source, name, at)
+        elif name == "svg" and tag[3].endswith("/"):
+            continue
+        elif name in SKIPPED and not tag[1]:
+            started.setdefault(name, []).append(at)
+        elif started.get(name):
+            ends[started[name].pop()] = at
+    return ends
+
+
 def parse(source: str | None) -> Page:
     """Read a whole page. Truncated or unbalanced markup is closed as browsers do in the common cases."""
     page = Page([Node("body", -1)])
@@ -69,6 +98,7 @@ def parse(source: str | None) -> Page:
         runs.append((blocks[-1][0], value))
 
     end = len(source)
+    skipped: dict[int, int] | None = None  # read when the first such element is met
     while at < end:
         tag = _TAG.search(source, at)
         if tag is None:
@@ -89,11 +119,16 @@ def parse(source: str | None) -> Page:
                 close(k)
             continue
         if name in RAW:
-            if tag[3].endswith("/") and name in ("svg", "math"):
-                continue
-            stop = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-            at = stop.end() if stop else end
+            at = raw_end(source, name, at)
             continue
+        if tag[3].endswith("/") and name in ("svg", "math"):
+            continue
+        if name in SKIPPED:
+            if skipped is None:
+                skipped = skipped_ends(source)
+            if at in skipped:
+                at = skipped[at]
+                continue
         if name == "br":
             runs.append((blocks[-1][0], " "))
             continue
