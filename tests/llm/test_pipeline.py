@@ -117,3 +117,11 @@ def test_empty_documents(spark, tables, tmp_path):
         df = spark.read.parquet(f"{folder}/{name}.parquet")
         (df.limit(0) if name == "documents" else df).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_leaks_of_null_and_repeated_ids(spark, tables):
+    folder, _, items, _ = tables
+    rows = [(None, f"alpha {items[0]} bravo"), (None, "clean text"), (None, None), (7, f"{items[1]} bravo"), (7, "other clean text"), (8, "clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_benchmark_leaks(spark, docs, folder)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, (rows[i] for i in (1, 2, 4, 5))))
