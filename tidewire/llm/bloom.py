@@ -13,13 +13,13 @@ from tidewire.llm import sketch
 from tidewire.llm.blocks import scaled
 from tidewire.llm.textkit import mix
 
-#: Most bits of a filter; beyond it more rows pass, none is lost.
-MAX_WIDTH = 1 << 27
+#: Ids of which a filter is made for a broadcast: 16 bits each are 16 MB. More are for a join.
+MAX_IDS = 1 << 23
 
 
 def membership(values: DataFrame, name: str, count: int) -> tuple[int, bytes]:
     """Width and bits of a filter with two positions of each long."""
-    width = min(MAX_WIDTH, max(1 << 16, 16 * count))
+    width = max(1 << 16, 16 * count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,3 +47,10 @@ def may_have(rows: DataFrame, name: str, known: tuple[int, bytes], nulls: bool =
             yield batch.filter(pa.array(keep | ~valid if nulls else keep))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def having(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose long ``name`` is among the ``name`` of wanted: few wanted ids go through a filter first, so that few rows are shuffled."""
+    count = wanted.count()
+    few = may_have(rows, name, membership(wanted, name, count)) if count <= MAX_IDS else rows
+    return few.join(wanted.select(name), name, "left_semi")

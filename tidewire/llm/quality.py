@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.llm.blocks import column, cuts, pack, read, scaled, shards, text_bytes
-from tidewire.llm.bloom import may_have, membership
+from tidewire.llm.bloom import having
 from tidewire.llm.tables import cut
 from tidewire.llm.textkit import buffers, chunks, mix
 
@@ -294,7 +294,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     known = cut(ids.withColumn("held", held))
     text = docs.select(F.col("doc_id").cast("long"), "text")
     for_counts = known.where("NOT held").select("doc_id")
-    trusted = may_have(text, "doc_id", membership(for_counts, "doc_id", for_counts.count())).join(for_counts, "doc_id", "left_semi")
+    trusted = having(text, "doc_id", for_counts)
     scored = cut(perplexities(docs, trusted, order))
     thresholds = cut(language_thresholds(scored.join(known.where("held"), "doc_id", "left_semi"), quantile, low=low))
     widest = thresholds.agg(F.max("threshold").alias("t"), F.min("floor").alias("f")).first()

@@ -12,8 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Use the cluster's shared folder; only where it is unset (tests) take a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidewire-checkpoints"
+    """The cluster's shared folder. Only a local session, as in tests, may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or "/tmp/tidewire-checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,19 +24,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/tidewire-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it: like ``cut``, but the planner knows its size afterwards."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+class Scratch:
+    """Written tables of one run in the shared folder: they cut lineage, and each goes once its successors are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, shared_folder(spark), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.option("parquet.block.size", 16 << 20).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for x in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(x)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
