@@ -11,8 +11,8 @@ share a prefix shingle are compared. A tile never compares inside a component, s
 the square of a group of copies.
 
 Before sets' arrays go anywhere, bitmaps sized to the sets go to the tiles of a round. Sets that by their bitmaps may have a
-link in a tile are joined there; the components of these joins, over all tiles, are the candidate groups. A set is sent
-whole once a round, to its group; only groups too large for one task fall back to their tiles.
+link in a tile are joined there, under the least set so joined. Tiles with the same least set are one candidate group, and a
+set is sent whole once to each of its groups; only groups too large for one task fall back to their tiles.
 """
 
 from __future__ import annotations
@@ -280,7 +280,7 @@ def _tasks(rows: DataFrame, size: object) -> int:
 
 
 def promising(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those rows (tile, part, sid) whose set may have a link in its tile, by bitmaps only; ``to`` is a set it is joined with."""
+    """Those rows (tile, part, sid) whose set may have a link in its tile, by bitmaps only; ``to`` is the least set it is joined with."""
     rows = members.join(sets.select("sid", "n", "sign"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
     rows = rows.select("tile", "part", "sid", "n", "sign", F.coalesce("comp", "sid").alias("comp"), F.xxhash64("tile", "part").alias("key"))
     tasks = _tasks(members.join(sets.select("sid", "n"), "sid"), F.col("n") / 3 + 64)
@@ -293,8 +293,10 @@ def promising(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
             at = order[a:b]
             label = may_link(comp[at], n[at], [signs[int(i)].as_buffer() for i in at], percent)
             some = np.bincount(label, minlength=len(at))[label] > 1
+            least = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, sid[at])
             kept.append(at[some])
-            to.append(sid[at[label[some]]])
+            to.append(least[label[some]])
         kept = np.concatenate(kept)
         return table.select(["tile", "part", "sid", "n"]).take(kept).append_column("to", pa.array(np.concatenate(to), pa.int64()))
 
@@ -327,12 +329,11 @@ def group_links(kept: DataFrame, comps: DataFrame, ids: DataFrame, docs: DataFra
     Sets of one candidate group go to one task. A group too large for that goes by its tiles' parts, and these, unless
     ``every_pair`` of them must be compared, are cut to size.
     """
-    near = components(kept.select(F.col("sid").alias("a"), F.col("to").alias("b")), scratch)
-    sizes = kept.select("sid", "n").distinct().join(near, F.col("sid") == F.col("id")).groupBy("comp").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
+    sizes = kept.select("to", "sid", "n").distinct().groupBy("to").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
     pieces = F.lit(1) if every_pair else F.ceil(F.col("elements") / CHUNK_ELEMENTS)
     large = (F.col("elements") > 2 * CHUNK_ELEMENTS) | (F.col("sets") > 2 * CHUNK_SETS)
-    key = F.when(large, F.xxhash64("tile", "part", F.pmod(F.xxhash64("sid"), pieces))).otherwise(F.xxhash64("comp"))
-    dealt = scratch.keep(kept.join(near, F.col("sid") == F.col("id")).join(sizes, "comp").select(key.alias("key"), "sid", "n").distinct())
+    key = F.when(large, F.xxhash64("tile", "part", F.pmod(F.xxhash64("sid"), pieces))).otherwise(F.xxhash64("to"))
+    dealt = scratch.keep(kept.join(sizes, "to").select(key.alias("key"), "sid", "n").distinct())
 
     wanted = ids.join(dealt.select("sid"), "sid", "left_semi")
     rows = dealt.select("key", "sid").join(ids.withColumnRenamed("rep", "of"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
@@ -350,10 +351,23 @@ def group_links(kept: DataFrame, comps: DataFrame, ids: DataFrame, docs: DataFra
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     edges = scratch.keep(rows.withColumn("task", F.pmod("key", F.lit(tasks))).groupBy("task").applyInArrow(run, "a long, b long"))
-    scratch.drop(near, dealt)
+    scratch.drop(dealt)
     return edges
 
 
+def joined(comps: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) after further edges: these join components, and ends that were alone."""
+    x, y = comps.toDF("i1", "c1"), comps.toDF("i2", "c2")
+    between = edges.join(x, F.col("a") == F.col("i1"), "left").join(y, F.col("b") == F.col("i2"), "left")
+    found = components(between.select(F.coalesce("c1", "a").alias("a"), F.coalesce("c2", "b").alias("b")), scratch)
+    new = found.toDF("from", "to")
+    old = comps.join(new, F.col("comp") == F.col("from"), "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    alone = new.join(comps, F.col("from") == F.col("id"), "left_anti").toDF("id", "comp")
+    out = scratch.keep(old.union(alone))
+    scratch.drop(found, comps)
+    return out
+
+
 def prefix_tiles(sets: DataFrame, comps: DataFrame, percent: int, hubs_only: bool) -> DataFrame:
     """Rows (tile, part, sid) of sets of neighbouring size bands that share a prefix shingle but lie in different components.
 
@@ -450,8 +464,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
         kept = scratch.keep(promising(members, comps, sets, percent))
         scratch.drop(members)
         if not kept.isEmpty():
-            edges = edges.union(group_links(kept, comps, ids, docs, k, percent, turn == "all", scratch))
-            comps = components(edges, scratch)
+            new = group_links(kept, comps, ids, docs, k, percent, turn == "all", scratch)
+            if not new.isEmpty():
+                edges, comps = edges.union(new), joined(comps, new, scratch)
         scratch.drop(kept)
 
     least = of.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")).join(comps, F.col("sid") == F.col("id"), "left")
