@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidewire.llm import sketch
 from tidewire.llm.blocks import expand, pack, read, shrink
 from tidewire.llm.passages import drop_repeated_passages
 
@@ -48,12 +49,12 @@ def sample(seed, n=150):
 
 
 def test_like_brute_force(spark):
-    for seed, block, width, k in ((1, 1 << 20, 1 << 28, 13), (2, 3000, 1 << 28, 13), (3, 2000, 64, 5)):
+    for seed, block, bits, k in ((1, 1 << 20, 22, 13), (2, 3000, 22, 13), (3, 2000, 4, 5)):
         rows = sample(seed)
         docs = spark.createDataFrame([(i, t, "clash", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, block string, nth int").repartition(4, "nth")
         path = spark.conf.get("spark.checkpoint.dir") + f"/passages{seed}"
         docs.write.parquet(path)
-        got = {r.nth: r for r in drop_repeated_passages(spark.read.parquet(path), k, block, width).collect()}
+        got = {r.nth: r for r in drop_repeated_passages(spark.read.parquet(path), k, block, bits).collect()}
         assert len(got) == len(rows)
         for n, (size, gone, kept) in enumerate(brute(rows, k)):
             r = got[n]
@@ -72,3 +73,21 @@ def test_blocks_keep_all_rows(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert drop_repeated_passages(docs).count() == 0
+
+
+def test_places_keep_order_and_ranges():
+    rng = np.random.default_rng(8)
+    hashes = np.sort(np.r_[rng.integers(0, 2**64, 2000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    for n in (1, 3, 12345, 2**31):
+        shard, place = sketch.places(hashes, n)
+        assert shard.tolist() == [int(h) * n >> 64 for h in hashes]
+        assert place.tolist() == [(int(h) * n % 2**64) >> (64 - sketch.FINGER_BITS) for h in hashes]
+
+
+def test_sketch_loses_no_repeated_window_and_filters_most_others():
+    rng = np.random.default_rng(2)
+    once, twice = np.split(rng.choice(1 << sketch.FINGER_BITS, 1_200_000, replace=False), [1_100_000])
+    fingers = np.r_[once, twice[:50_000], twice[:50_000], twice[50_000:]]
+    shared = np.arange(len(fingers)) >= len(fingers) - 50_000
+    got = sketch.estimated_repeated(fingers, shared)
+    assert got[len(once) :].all() and got[: len(once)].mean() < 0.15

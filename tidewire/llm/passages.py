@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidewire.llm import sketch
-from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, pack, read, scaled, shards, text_bytes
+from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, expand, pack, read, shards, shrink, text_bytes
 from tidewire.llm.textkit import buffers, windows, word_hashes, word_spans
 
 WINDOW = 13
-#: Most counters on a line of the sketch; its broadcast has a bit for each.
-MAX_WIDTH = 1 << 28
+#: Bytes of text whose windows one range of hashes has, on average.
 SHARD_BYTES = 8 << 20
+ANSWERS = "block long, shard long, n long, bits binary"
 _LAST = np.iinfo(np.int64).max
 
 
-def sketch_width(total_bytes: int) -> int:
-    """About twice as many counters as windows, up to MAX_WIDTH; beyond it more windows pass the filter, none is lost."""
-    return min(MAX_WIDTH, max(1 << 16, total_bytes // 3))
-
-
 class Windows:
-    """All windows of a block: hash, first word and document of each, and each document's rank."""
+    """All windows of a block: hash, first word and document of each, and each document's rank; ``checks`` are second hashes."""
 
     def __init__(self, table: pa.Table, k: int):
+        self.k = k
         self.data, self.offs = buffers(table.column("text"))
         self.starts, self.ends, self.rows = word_spans(self.data, self.offs)
         self.hashes, self.at = windows(word_hashes(self.data, self.starts, self.ends), self.rows, k)
@@ -36,25 +34,18 @@ class Windows:
         owner = np.searchsorted(self.rows, self.at, "right") - 1
         self.owner_id = self.ids[owner] if len(owner) else np.zeros(0, np.int64)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes in order, the least doc_id of each, and whether documents of two ids have it."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes in order, the least doc_id of each, whether documents of two ids have it, and a window with it."""
         order = np.lexsort((self.owner_id, self.hashes))
         h, i = self.hashes[order], self.owner_id[order]
         a, b = cuts(h)
-        return h[a], i[a], i[a] != i[b - 1]
-
+        return h[a], i[a], i[a] != i[b - 1], order[a]
 
-def _sketches(blocks: DataFrame, width: int, k: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column("payload"):
-                hashes, _, shared = Windows(read(payload.as_py()), k).distinct()
-                yield sketch.part(hashes, shared, width)
-
-    return blocks.mapInArrow(run, sketch.SCHEMA)
+    def checks(self) -> np.ndarray:
+        return windows(word_hashes(self.data, self.starts, self.ends, second=True), self.rows, self.k)[0]
 
 
-def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_BYTES, max_width: int = MAX_WIDTH, keep_layout: bool = False) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int = BLOCK_BYTES, counter_bits: int = sketch.COUNTER_BITS, keep_layout: bool = False) -> DataFrame:
     """Remove each word that a window of ``k`` words covers which also starts in a document of smaller doc_id.
 
     Windows are judged on the input. Returns all columns of ``docs`` (with doc_id and text), where ``text`` has the kept
@@ -62,45 +53,61 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     is. Null text stays null with 0 words. Rows of equal doc_id do
     not remove each other's words; a null doc_id comes after all others. Empty table: no rows.
 
-    Three passes: partition sketches of window counts are merged into a bitmap of counters that reach two documents; only
-    windows whose counters all did are grouped exactly, by hash range, to find their least doc_id; each block gets one bit
-    for every window that it asked about: whether an earlier document elsewhere has it. 64-bit hashes stand for windows.
+    Three passes: blocks' sketches of window counts are merged, by range of hashes, into a count-min sketch, which tells
+    each block what windows may repeat; only these are grouped exactly, again by range, to find their least doc_id; each
+    block gets one bit for every window that it asked about: whether an earlier document elsewhere has it. Windows are
+    equal if two independent hashes of 64 bits are.
     """
-    spark = docs.sparkSession
-    total = text_bytes(docs)
-    width = min(max_width, sketch_width(total))
-    n_shards = shards(docs, total, SHARD_BYTES)
+    n_shards = shards(docs, text_bytes(docs), SHARD_BYTES)
     blocks = pack(docs, limit=block_bytes)
 
-    shared = spark.sparkContext.broadcast(sketch.collect(_sketches(blocks, width, k), width))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                hashes, ids, _ = Windows(read(payload.as_py()), k).distinct()
-                keep = sketch.repeated(shared.value, hashes, width)
-                hashes, ids = hashes[keep], ids[keep]
-                to = scaled(hashes, n_shards)
-                runs = list(zip(*cuts(to)))
+                shard, finger, shared, _ = _fingers(Windows(read(payload.as_py()), k), n_shards)
+                runs = list(zip(*cuts(shard)))
                 if runs:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([int(to[a]) for a, _ in runs], pa.int32()), pa.array([number] * len(runs), pa.int64()),
-                        pa.array([hashes[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in runs], pa.binary()),
-                    ], names=["shard", "block", "hashes", "ids"])
+                        pa.array([int(shard[a]) for a, _ in runs], pa.int64()), pa.array([number] * len(runs), pa.int64()),
+                        pa.array([shrink(finger[a:b]) for a, b in runs], pa.binary()), pa.array([zlib.compress(np.packbits(shared[a:b]).tobytes(), 1) for a, b in runs], pa.binary()),
+                    ], names=["shard", "block", "fingers", "shared"])
+
+    def estimate(table: pa.Table) -> pa.Table:
+        fingers = [expand(x) for x in table.column("fingers").to_pylist()]
+        shared = [np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8), count=len(f)) for x, f in zip(table.column("shared").to_pylist(), fingers)]
+        return _bits(table, sketch.estimated_repeated(np.concatenate(fingers), np.concatenate(shared).astype(bool), counter_bits), np.array([len(f) for f in fingers]))
+
+    def ask(block: pa.Table, got: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if block.num_rows and got.num_rows:
+            number, w = block.column("block")[0].as_py(), Windows(read(block.column("payload")[0].as_py()), k)
+            _, _, _, place = _fingers(w, n_shards)
+            hashes, ids, _, at = w.distinct()
+            keep = _joined(got)[place]
+            checks = w.checks()[at[keep]]
+            shard, _ = sketch.places(hashes[keep], n_shards)
+            out.append((-1 - number, number, len(keep), np.packbits(keep).tobytes(), b"", b"", b""))
+            for a, b in zip(*cuts(shard)):
+                out.append((int(shard[a]), number, int(b - a), b"", hashes[keep][a:b].tobytes(), checks[a:b].tobytes(), ids[keep][a:b].tobytes()))
+        return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["shard", "block", "n", "bits", "hashes", "checks", "ids"])
 
     def answer(table: pa.Table) -> pa.Table:
+        if table.column("shard")[0].as_py() < 0:  # what a block asked, for the block itself
+            return table.select(["block", "shard", "n", "bits"])
         hashes, sizes = column(table, "hashes", "u8")
+        checks, _ = column(table, "checks", "u8")
         ids, _ = column(table, "ids", "i8")
-        order = np.argsort(hashes, kind="stable")
-        a, b = cuts(hashes[order])
+        order = np.lexsort((checks, hashes))
+        h, c = hashes[order], checks[order]
+        a = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         least = np.empty_like(ids)
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], a), b - a) if len(a) else ids[:0]
-        late, ends = least < ids, np.cumsum(sizes)
-        bits = [np.packbits(late[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
+        least[order] = np.repeat(np.minimum.reduceat(ids[order], a), np.diff(np.r_[a, len(h)]))
+        return _bits(table, least < ids, sizes)
 
-    asked = blocks.mapInArrow(ask, "shard int, block long, hashes binary, ids binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "block long, shard int, n long, bits binary")
+    sent = blocks.mapInArrow(count, "shard long, block long, fingers binary, shared binary")
+    estimates = sent.groupBy("shard").applyInArrow(estimate, ANSWERS)
+    asked = blocks.groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(ask, "shard long, block long, n long, bits binary, hashes binary, checks binary, ids binary")
+    answers = asked.groupBy("shard").applyInArrow(answer, ANSWERS)
     names = docs.columns
     schema = docs.select("*").schema.add("n_words", "long").add("n_removed", "long")
     empty = pa.schema([(n, t) for n, t in _arrow_fields(docs)] + [("n_words", pa.int64()), ("n_removed", pa.int64())]).empty_table()
@@ -110,14 +117,14 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
             return empty
         table = read(block.column("payload")[0].as_py())
         w = Windows(table, k)
-        hashes, ids, _ = w.distinct()
+        hashes, ids, _, _ = w.distinct()
         here = np.searchsorted(hashes, w.hashes)
         late = ids[here] < w.owner_id
-        asked = np.flatnonzero(sketch.repeated(shared.value, hashes, width))
-        rows = sorted(zip(got.column("shard").to_pylist(), got.column("n").to_pylist(), got.column("bits").to_pylist()))
-        if rows:
+        own = pc.less(got.column("shard"), 0)
+        if got.num_rows:
+            asked = np.flatnonzero(_joined(got.filter(own)))
             elsewhere = np.zeros(len(hashes), bool)
-            elsewhere[asked] = np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8), count=n) for _, n, bits in rows]) == 1
+            elsewhere[asked] = _joined(got.filter(pc.invert(own)))
             late |= elsewhere[here]
         edge = np.zeros(len(w.starts) + 1, np.int32)
         bad = w.at[late]
@@ -144,6 +151,29 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
+def _fingers(w: Windows, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Range and place there of a block's windows, each pair once, whether it counts twice or more, and each distinct window's index among them."""
+    hashes, _, shared, _ = w.distinct()
+    shard, finger = sketch.places(hashes, n_shards)
+    new = np.r_[True, (shard[1:] != shard[:-1]) | (finger[1:] != finger[:-1])][: len(hashes)]
+    at = np.flatnonzero(new)
+    twice = np.maximum.reduceat(shared, at) | (np.diff(np.r_[at, len(hashes)]) > 1) if len(at) else shared
+    return shard[at], finger[at], twice, np.cumsum(new) - 1
+
+
+def _bits(table: pa.Table, marks: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    """Marks of all rows of a shard, dealt to these rows."""
+    ends = np.cumsum(sizes)
+    bits = [np.packbits(marks[e - s : e]).tobytes() for s, e in zip(sizes, ends)]
+    return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+def _joined(answers: pa.Table) -> np.ndarray:
+    """Marks of a block from all shards, in their order."""
+    rows = sorted(zip(answers.column("shard").to_pylist(), answers.column("n").to_pylist(), answers.column("bits").to_pylist()))
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) for _, n, bits in rows)])
+
+
 def _arrow_fields(df: DataFrame) -> list[tuple[str, pa.DataType]]:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,4 +1,8 @@
-"""Count-min sketches of hash counts: made a partition at a time, merged by slice, kept as a bitmap of repeated counters."""
+"""Count-min sketches: bounded ones, collected as a bitmap of counters, and ones dealt over shards by range of hash.
+
+In a dealt sketch every range of hashes has a sketch of its own, of fixed size, so its load is the same for any input. A
+part sends a range its windows' places there (FINGER_BITS each, as gaps), which give the counters of both lines.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from tidewire.llm.textkit import mix
 
 SLICE = 1 << 20
 DEPTH = 2
+#: Bits of a place in a range, and log2 of the counters on each of a range's two lines.
+FINGER_BITS, COUNTER_BITS = 26, 22
 SCHEMA = "line int, slice int, once binary, twice binary"
 _KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
@@ -60,10 +66,18 @@ def collect(parts: DataFrame, width: int) -> list[bytes]:
     return [x.tobytes() for x in bits]
 
 
-def repeated(lines: list[bytes], hashes: np.ndarray, width: int) -> np.ndarray:
-    """Which hashes may have a count of 2 or more: all that do, and few others."""
-    keep = np.ones(len(hashes), bool)
-    for line, bits in enumerate(lines):
-        at = spots(hashes, line, width)
-        keep &= (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+def places(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range, of n equal ones, of each hash, and its place there; both in the hashes' order."""
+    high, low = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF)
+    shard = (high * np.uint64(n) + (low * np.uint64(n) >> np.uint64(32))) >> np.uint64(32)
+    return shard.astype(np.int64), (hashes * np.uint64(n) >> np.uint64(64 - FINGER_BITS)).astype(np.int64)
+
+
+def estimated_repeated(fingers: np.ndarray, shared: np.ndarray, bits: int = COUNTER_BITS) -> np.ndarray:
+    """Which places in one range have a count of 2 or more by both lines; ``shared`` ones count twice. All that do have, and few others."""
+    keep = np.ones(len(fingers), bool)
+    for at in (fingers >> (FINGER_BITS - bits), (mix(fingers.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)):
+        count = np.bincount(at, minlength=1 << bits)
+        count += np.bincount(at[shared], minlength=1 << bits)
+        keep &= count[at] >= 2
     return keep

@@ -17,6 +17,7 @@ CHUNK_BYTES = 1 << 20
 WORDS_AT_ONCE = 1 << 17
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_SECOND = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -84,17 +85,17 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A hash of each word's bytes; ``fold`` takes A-Z as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, second: bool = False) -> np.ndarray:
+    """A hash of each word's bytes; ``fold`` takes A-Z as a-z, ``second`` gives another hash, independent of the first."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     if len(starts) > WORDS_AT_ONCE:  # bounded memory
         cuts = range(0, len(starts), WORDS_AT_ONCE)
-        return np.concatenate([word_hashes(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], fold) for i in cuts])
+        return np.concatenate([word_hashes(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], fold, second) for i in cuts])
     size = ends - starts
     first = np.cumsum(size) - size
     rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    value = (_LOWER if fold else _BYTE)[data[rel + np.repeat(starts, size)]]
+    value = (_SECOND if second else _LOWER if fold else _BYTE)[data[rel + np.repeat(starts, size)]]
     value *= _power(int(size.max()) + 1)[rel]
     return mix(np.add.reduceat(value, first))
 
