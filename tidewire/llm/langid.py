@@ -10,18 +10,27 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import without
+
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fitted model: documents a language that it is fitted on, words and n-grams of each length kept.
+#: Bound of the sample that the model is fitted on: documents a language. All that occurs twice in it is kept.
 MAX_DOCS = 2000
-MAX_WORDS = 15_000
-MAX_GRAMS = 8_000
+#: Most languages whose shares are broadcast.
+MAX_BROADCAST_LANGS = 10_000
 LENGTHS = (4, 3, 2, 1)
 CACHE = 200_000
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters of a text in lower case; numbers such as fractions and Roman numerals are none."""
+    found = WORD.findall(text.lower())
+    if not found or "".join(found).isalpha():
+        return found
+    return [x for word in found for x in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
 def grams(word: str, n: int) -> list[str]:
     """Character n-grams of a word with marked ends; single characters without them."""
     marked = word if n == 1 else f"<{word}>"
@@ -51,7 +60,7 @@ class Model:
 
     def classify(self, text: str | None) -> tuple[str, float]:
         """Best language and its share of the likelihood; ``und`` for a text without letters."""
-        words = Counter(WORD.findall(text.lower())) if text else None
+        words = Counter(letter_runs(text)) if text else None
         if not words:
             return "und", 0.0
         if not self.langs:
@@ -74,7 +83,8 @@ class Model:
 def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Fit on rows (doc_id, text, lang) with a language: at most about ``max_docs`` of each, chosen by doc_id.
 
-    Counts are summed by Spark; only the most frequent words and n-grams of each language reach the driver.
+    Counts are summed by Spark; words and n-grams that occur twice in a language's sample reach the driver, so the sample
+    bounds the model.
     """
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     share = docs.groupBy("lang").agg((F.lit(float(max_docs)) / F.count("*")).alias("share"))
@@ -84,7 +94,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         for batch in batches:
             words: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words.update((lang, w) for w in WORD.findall((text or "").lower()))
+                words.update((lang, w) for w in letter_runs(text or ""))
             got: Counter = Counter({(lang, 0, w): c for (lang, w), c in words.items()})
             for (lang, w), c in words.items():
                 for n in LENGTHS:
@@ -95,11 +105,10 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                 ["lang", "kind", "token", "n"],
             )
 
-    picked = docs.join(F.broadcast(share), "lang").where(pick).select("lang", "text")
+    small = share.limit(MAX_BROADCAST_LANGS + 1).count() <= MAX_BROADCAST_LANGS
+    picked = docs.join(F.broadcast(share) if small else share, "lang").where(pick).select("lang", "text")
     counts = picked.mapInArrow(run, "lang string, kind int, token string, n long").groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang", "kind").orderBy(F.desc("n"), "token"))
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS))
-    kept = kept.where((F.col("kind") > 0) | (F.col("n") > 1)).drop("rank").toArrow().to_pandas()
+    kept = counts.where((F.col("n") > 1) | (F.col("kind") == 1)).toArrow().to_pandas()
     langs = sorted(kept.lang.unique())
     tables: dict[int, dict[str, int]] = {}
     rows, start = [], 0
@@ -116,7 +125,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row from its whole text; null or letterless text: ``und``, 0."""
+    """Add ``lang_pred`` and ``score``, in place of columns so named, to every row from its whole text; null or letterless text: ``und``, 0."""
+    docs = without(docs, "lang_pred", "score")
     schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

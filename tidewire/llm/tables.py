@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """A table without its own columns of these names, for an operator that adds such columns."""
+    taken = {n.lower() for n in names}
+    return df.select([f"`{c}`" for c in df.columns if c.lower() not in taken])
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a local session, as in tests, may do without the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,7 +52,7 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing will read any more."""
-        for x in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(x)][0])
+        """Delete tables that nothing will read any more; others than those kept here are left alone."""
+        for name, _ in (self.paths[id(x)] for x in tables if id(x) in self.paths):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
