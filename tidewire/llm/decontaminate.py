@@ -13,8 +13,6 @@ _ODD = re.compile(r"[\W_]+")
 #: Characters of benchmark text that one pass over the documents handles; more items take more passes.
 PASS_CHARS = 4_000_000
 ERROR_RATE = 0.08
-#: Items of fewer characters match only whole and between word ends.
-SHORT = 20
 
 
 def normal(text: str | None) -> str:
@@ -23,7 +21,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float) -> int:
-    return int(length * rate) if length >= SHORT else 0
+    return int(length * rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -60,16 +58,16 @@ def myers(pattern: str, text: str, most: int) -> int | None:
 
 
 class Matcher:
-    """All pieces of some items in one automaton."""
+    """All pieces of some items in one automaton; items without any error in their budget match between word ends if ``word_ends``."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, word_ends: bool = True):
         import ahocorasick
 
         self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
         for at, (_, text, errors) in enumerate(self.items):
             for offset, piece in pieces(text, errors) if text else ():
-                where.setdefault(f" {piece} " if len(text) < SHORT else piece, []).append((at, offset))
+                where.setdefault(piece if errors or not word_ends else f" {piece} ", []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, found in where.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -77,9 +75,9 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
-    def find(self, text: str | None) -> dict[int, int]:
+    def find(self, text: str | None) -> dict[int | None, int]:
         """Least distance by item id of all items within their budget anywhere in the whole text."""
-        best: dict[int, int] = {}
+        best: dict[int | None, int] = {}
         body = normal(text)
         if self.empty or not body:
             return best
@@ -90,7 +88,7 @@ class Matcher:
                 item_id, item, errors = self.items[at]
                 if best.get(item_id) == 0:
                     continue
-                if len(item) < SHORT:
+                if not errors:
                     best[item_id] = 0
                     continue
                 start = end + 1 - size - offset
@@ -109,12 +107,12 @@ class Matcher:
         return best
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pass_chars: int = PASS_CHARS, word_ends: bool = True) -> DataFrame:
     """Rows (doc_id, item_id, distance): each benchmark item found in a document with at most ``rate`` edits a character.
 
-    Texts are compared after ``normal``. Null or empty texts and items without letters or digits match nothing; items
-    of fewer than SHORT characters only exactly, between word ends. Repeated rows of a pair give one row with
-    the least distance. Items go to the executors in passes of about ``pass_chars`` characters.
+    Texts are compared after ``normal``. Null or empty texts and items without letters or digits match nothing. Items so short
+    that their budget has no error are found whole, with ``word_ends`` only between word ends. Repeated rows of a pair give
+    one row with the least distance; so do all items with a null item_id. Items go to the executors in passes of about ``pass_chars`` characters.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
@@ -122,10 +120,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pas
     found = None
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(sorted((r.item_id, normal(r.text)) for r in part if r.item_id is not None))
+        shared = docs.sparkSession.sparkContext.broadcast(sorted(((r.item_id, normal(r.text)) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, word_ends)
             for batch in batches:
                 got = [(d, i, e) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, e in matcher.find(t).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], pa.int64()) for j in range(3)], ["doc_id", "item_id", "distance"])
