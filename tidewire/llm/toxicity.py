@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import cut, without
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Features that a classifier keeps.
 MAX_FEATURES = 50_000
-#: Bounds of the sample that the classifiers are fitted on (documents), and distinct words used of each of them.
+#: Bounds of the sample that the classifiers are fitted on, in documents; their texts are used whole.
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 8000
-FIT_WORDS = 1500
+#: Standard errors by which a feature's shares must differ, and documents' worth of that difference.
+STRENGTH, GAP = 6.0, 4.5
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -61,25 +64,39 @@ class Model:
         return out
 
 
-def counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features and the number of documents that have each."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint32), *docs]), return_counts=True)
+def document_features(text: str | None) -> np.ndarray:
+    """Distinct features of a whole text, sorted."""
+    words = set(WORD.findall(text.lower())) if text else ()
+    return np.unique(np.fromiter((f for x in words for f in features(x)), np.uint32))
 
 
-def associated(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: float = 6.0, most: int = MAX_FEATURES) -> np.ndarray:
-    """Sorted features whose share of positive documents differs from that of unlabelled ones by ``z`` standard errors."""
-    (a, n_a), (b, n_b) = counts(positive), counts(unlabelled)
-    ids = np.union1d(a, b)
-    in_p, in_u = np.zeros(len(ids)), np.zeros(len(ids))
-    in_p[np.searchsorted(ids, a)] = n_a
-    in_u[np.searchsorted(ids, b)] = n_b
-    n, m = len(positive), len(unlabelled)
-    pooled = (in_p + in_u) / (n + m)
-    gap = np.abs(in_p / n - in_u / m)
-    strength = gap / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
-    fit_for = np.flatnonzero((strength >= z) & (gap > 4.5 / n))
-    best = fit_for[np.argsort(-strength[fit_for], kind="stable")[:most]]
-    return np.sort(ids[best])
+def associated(sample: DataFrame, most: int = MAX_FEATURES) -> list[int]:
+    """Features whose share of positive documents differs clearly from that of unlabelled ones. sample: role (1 or 0), text.
+
+    Documents are counted by Spark, over whole texts; the driver gets the ``most`` strongest features.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
+            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
+                parts[role].append(document_features(text))
+            for role, docs in parts.items():
+                if docs:
+                    ids, n = np.unique(np.concatenate(docs), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), role, np.int32)), pa.array(n, pa.int64())], ["f", "role", "n"])
+
+    size = sample.groupBy("role").count().collect()
+    n, m = (next((r["count"] for r in size if r.role == k), 0) for k in (1, 0))
+    if not n or not m:
+        return []
+    of = lambda k: F.sum(F.when(F.col("role") == k, F.col("n")).otherwise(0))
+    counts = sample.mapInArrow(run, "f long, role int, n long").groupBy("f").agg(of(1).alias("p"), of(0).alias("u"))
+    pooled = (F.col("p") + F.col("u")) / (n + m)
+    gap = F.abs(F.col("p") / n - F.col("u") / m)
+    strength = gap / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n + 1 / m))
+    kept = counts.select("f", strength.alias("strength")).where((F.col("strength") >= STRENGTH) & (gap > GAP / n))
+    return sorted(r.f for r in kept.orderBy(F.desc("strength"), "f").limit(most).collect())
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], kept: np.ndarray, prior: float, seed: int = 0, steps: int = 300, rate: float = 0.06, decay: float = 1e-4) -> Model:
@@ -125,32 +142,30 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, usable: Column, c
     """Mean of several classifiers, fitted on a bounded sample that depends on doc_id only.
 
     positives: doc_id of confirmed toxic documents. ``usable`` says which documents may serve as unlabelled text.
-    At most MAX_POSITIVE + MAX_UNLABELLED ids and the features of those documents reach the driver.
+    The driver gets at most MAX_FEATURES features and those of them that each of MAX_POSITIVE + MAX_UNLABELLED documents has.
     """
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     pos = positives.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE)
     rest = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(MAX_UNLABELLED)
     ids = pos.withColumn("role", F.lit(1)).unionByName(rest.distinct().withColumn("role", F.lit(0)))
 
+    small = ids.limit(MAX_POSITIVE + MAX_UNLABELLED + 1)  # bounded, so it may be broadcast
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").select("role", "text"))
+    kept = np.array(associated(sample), np.uint32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                words = sorted(set(WORD.findall((text or "").lower())), key=lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")))[:FIT_WORDS]
-                rows.append(np.unique(np.array([f for x in words for f in features(x)], np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array(rows, pa.binary())], ["role", "ids"])
+            found = [np.intersect1d(document_features(x), kept, assume_unique=True).astype(np.uint32).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array(found, pa.binary())], ["role", "ids"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("role", "text").mapInArrow(run, "role int, ids binary").collect()
-    sample.sort(key=lambda r: bytes(r.ids))
-    parts = [[np.frombuffer(r.ids, np.uint32) for r in sample if r.role == k] for k in (1, 0)]
-    kept = associated(*parts) if all(parts) else np.zeros(0, np.uint32)
-    parts = [[x[np.isin(x, kept)] for x in part] for part in parts]
-    models = [fit(*parts, kept, prior, seed) for seed in range(classifiers)]
-    return mean(models)
+    rows = sorted((r.role, bytes(r.ids)) for r in sample.mapInArrow(run, "role int, ids binary").collect())
+    parts = [[np.frombuffer(x, np.uint32) for role, x in rows if role == k] for k in (1, 0)]
+    return mean([fit(*parts, kept, prior, seed) for seed in range(classifiers)])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) to every row. The model has at most MAX_FEATURES weights a classifier, so its broadcast is bounded. Null text: as empty."""
+    """Add ``score`` (0 to 1), in place of a column so named, to every row. The model has at most MAX_FEATURES weights a classifier, so its broadcast is bounded. Null text: as empty."""
+    docs = without(docs, "score")
     schema = docs.select("*").schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
