@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import Scratch, without
+
 #: The public byte-level BPE pattern that goes with the ranks file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,10 +30,11 @@ def _encoding(path: str):
 
 
 def encoded_lengths(docs: DataFrame, ranks_path: str = RANKS, text: str = "text") -> DataFrame:
-    """Add ``n_tokens`` to every row: the exact token count of its whole text, 0 if null or empty.
+    """Add ``n_tokens``, in place of a column so named, to every row: the exact token count of its whole text, 0 if null or empty.
 
     The ranks file is part of the machine image and is opened on each executor.
     """
+    docs = without(docs, "n_tokens")
     schema = docs.select("*").schema.add("n_tokens", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,10 +52,10 @@ def length_histogram(lengths: DataFrame, n: str = "n_tokens") -> DataFrame:
     n_docs of that length; docs_longer and tokens_longer (strictly); docs_total, tokens_total;
     tokens_kept: all tokens if each text is cut at this limit; quantile: share of documents that
     fit whole. A limit between two rows is answered by ``totals_at``. Null lengths count as 0;
-    empty table: no rows.
+    empty table: no rows. The counts by length are written once, as they are used twice.
     """
     hist = lengths.groupBy(F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n)).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("bucket", F.floor(F.col(n) / STEP))
+    hist = Scratch(lengths.sparkSession).keep(hist.withColumn("bucket", F.floor(F.col(n) / STEP)))
     coarse = hist.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col(n)).alias("t"))
     later = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     every = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
