@@ -8,13 +8,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm.fingerprint import K, SHINGLE, resemblance, sketches, to_text, with_successor
+from tidewire.llm.blocks import text_bytes
+from tidewire.llm.fingerprint import K, SHINGLE, containment, distinct_count, resemblance, sketches, to_text, with_successor
 from tidewire.llm.tables import table
 
 NAME = "op3_fingerprints"
 SQL = None  # SQL has no such hash; tested against brute-force Jaccard similarity
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, kept_in_edited double"
 GROUP_BYTES = 1 << 20
+#: Bytes of text in one range of doc_id.
+RANGE_BYTES = 8 << 20
 
 
 def edited(text: str, following: str) -> str:
@@ -26,6 +29,8 @@ def edited(text: str, following: str) -> str:
 def compare_with_next(docs: DataFrame, parts: int) -> DataFrame:
     """For each document, its fingerprint, that of its edited text, and likenesses to that and to the next document.
 
+    Further columns: its number of distinct shingles, and the share of them that the edited text has, both estimated.
+
     Null texts are empty. Documents of equal doc_id follow each other by text. A single document is its own successor.
     """
 
@@ -44,6 +49,7 @@ def compare_with_next(docs: DataFrame, parts: int) -> DataFrame:
             pa.array(map(to_text, own[:-1])), pa.array(map(to_text, new)),
             pa.array([resemblance(a, b) for a, b in zip(own, new)], pa.float64()),
             pa.array([resemblance(a, b) for a, b in zip(own, own[1:])], pa.float64()),
+            pa.array([distinct_count(a) for a in own[:-1]], pa.float64()), pa.array([containment(a, b) for a, b in zip(own, new)], pa.float64()),
         ], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,4 +77,5 @@ def compare_with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     assert (K, SHINGLE) == (128, 5)
-    return compare_with_next(table(spark, sf_dir, "documents"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = table(spark, sf_dir, "documents")
+    return compare_with_next(docs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // RANGE_BYTES))
