@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A source's keys are summed in so many ranges, so that no task orders a whole source.
-RANGES = 1024
+from tidewire.llm.tables import Scratch
+
+#: A source's keys are summed in ranges, so many to a doubling of the key, so that no task orders a whole source. Whatever
+#: the weights, a range has a few thousandths of the documents of one weight at most.
+RANGES = 128
 
 
 def word_count(text: Column) -> Column:
@@ -44,7 +47,13 @@ def source_targets(sizes: DataFrame, max_epochs: float) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int = 3, seed: int = 0, ranges: int = RANGES) -> DataFrame:
-    """How many words of each document a mix takes.
+    """``mix_sizes`` of documents (doc_id, source, text), whose sizes are their words; ``weight`` is an expression over their columns."""
+    weight = F.lit(1.0) if weight is None else weight
+    return mix_sizes(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), weight.cast("double").alias("weight")), max_epochs, seed, ranges)
+
+
+def mix_sizes(sized: DataFrame, max_epochs: int = 3, seed: int = 0, ranges: int = RANGES) -> DataFrame:
+    """How many words of each document a mix takes. sized: doc_id, source, size, weight.
 
     Sources weigh 1, 2, 3, 1, 2, 3, ... in code-point order, null last, and share all words. Every
     whole multiple of a source's size in its target is complete epochs; the rest goes to documents
@@ -53,10 +62,9 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int =
     rows count each. A source without words has target 0. Empty table: no rows.
     Returns doc_id, size, source_size, target, taken, source.
     """
-    weight = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(1e-9))
-    key = -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(weight, F.lit(1e-9))
-    rows = docs.select("doc_id", F.col("source").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"))
-    rows = rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * ranges).cast("int"))
+    key = -F.log(uniform(F.col("doc_id"), seed)) / F.greatest(F.coalesce("weight", F.lit(1e-9)), F.lit(1e-9))
+    rows = sized.select("doc_id", "source", "size", key.alias("key"))
+    rows = Scratch(sized.sparkSession).keep(rows.withColumn("bucket", F.floor(F.log2("key") * ranges).cast("int")))  # texts are read once
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     sizes = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))

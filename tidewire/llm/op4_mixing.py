@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm.mixing import mix_sources, word_count
+from tidewire.llm.mixing import mix_sizes, word_count
 from tidewire.llm.tables import table
 
 NAME = "op4_mix_sources"
 
 
-def quality_weight() -> Column:
-    """Share of a text's characters that are not symbols, at least 0.1: a plain quality weight."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = F.length(text) - F.length(F.translate(text, "!#$%&*|", ""))
-    return F.greatest(F.lit(0.1), 1 - odd / F.greatest(F.length(text), F.lit(1)))
+#: Weights of documents labelled good, not labelled, and labelled bad: a good one is four times as likely to be among the first.
+GOOD, UNKNOWN, BAD = 1.0, 0.5, 0.25
+
+
+def with_quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, text or what else docs have) with ``weight`` by the least ``quality`` among a document's labels."""
+    least = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
+    weight = F.when(F.col("_quality") >= 1, GOOD).when(F.col("_quality") <= 0, BAD).otherwise(UNKNOWN)
+    return docs.join(least, "doc_id", "left").withColumn("weight", weight).drop("_quality")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), quality_weight()).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_by_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def mix_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Words that the mix takes of each document, good ones more likely in the last epoch. Only sizes and ids are joined with labels, no texts."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sizes(with_quality_weight(sized, labels)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 MIX_SQL = """
-r AS (SELECT doc_id, source, text,
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+r AS (SELECT d.doc_id, source, CASE WHEN quality >= 1 THEN 1.0 WHEN quality <= 0 THEN 0.25 ELSE 0.5 END AS weight,
         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-        length(coalesce(text, '')) AS chars,
-        length(coalesce(text, '')) - length(translate(coalesce(text, ''), '!#$%&*|', '')) AS odd,
-        (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
-      FROM {docs}),
-k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.1, 1 - CAST(odd AS DOUBLE) / greatest(chars, 1)) AS key FROM r),
+        (CAST(CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':0'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
+      FROM {docs} d LEFT JOIN q ON q.doc_id = d.doc_id),
+k AS (SELECT doc_id, source, size, -ln(u) / CAST(weight AS DOUBLE) AS key FROM r),
 s AS (SELECT source, sum(size) AS source_size,
         row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM k GROUP BY source),
 w AS (SELECT *, CAST((rank - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0 AS room FROM s),
