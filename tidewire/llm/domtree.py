@@ -6,8 +6,9 @@ import html
 import re
 from dataclasses import dataclass, field
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|data-content)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(>|$)", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _PART = re.compile(r"[a-z]+")
 #: Fixed values of the HTML standard: elements without content, and elements whose content is not shown or not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +29,7 @@ class Node:
     linked: int = 0
     commas: int = 0
     marked: bool = False
+    hidden: bool = False  # not shown, like all below it
 
 
 @dataclass
@@ -65,6 +67,23 @@ def skipped_ends(source: str) -> dict[int, int]:
     return ends
 
 
+def attributes(inside: str) -> tuple[tuple[str, ...], bool | None, bool]:
+    """Of a start tag: the words of its class, id and role, its label if it has one, and whether the element is hidden."""
+    hints: list[str] = []
+    marked, hidden = None, False
+    for key, a, b, c in _ATTR.findall(inside) if inside else ():
+        key, value = key.lower(), (a or b or c).lower()
+        if key == "data-content":
+            marked = value != "no"
+        elif key == "hidden":
+            hidden = True
+        elif key == "style":
+            hidden = hidden or bool(_UNSEEN.search(value))
+        elif key in ("class", "id", "role"):
+            hints += _PART.findall(value)
+    return tuple(dict.fromkeys(hints)), marked, hidden
+
+
 def parse(source: str | None) -> Page:
     """Read a whole page. Truncated or unbalanced markup is closed as browsers do in the common cases."""
     page = Page([Node("body", -1)])
@@ -72,7 +91,7 @@ def parse(source: str | None) -> Page:
         return page
     nodes, runs = page.nodes, page.runs
     open_tags: list[str] = []  # all open elements
-    blocks: list[tuple[int, int]] = [(0, 0)]  # (node, depth of open_tags) of open block elements
+    blocks: list[tuple[int, int, bool]] = [(0, 0, True)]  # (node, depth of open_tags, whether it breaks lines) of open block elements
     links = 0
     at = 0
 
@@ -82,8 +101,8 @@ def parse(source: str | None) -> Page:
             if open_tags.pop() == "a":
                 links -= 1
         while len(blocks) > 1 and blocks[-1][1] > len(open_tags):
-            blocks.pop()
-            runs.append((-1, ""))
+            if blocks.pop()[2]:
+                runs.append((-1, ""))
 
     def text(raw: str) -> None:
         if not raw or "head" in open_tags:
@@ -143,6 +162,9 @@ def parse(source: str | None) -> Page:
         if name in INLINE:
             open_tags.append(name)
             links += name == "a"
+            if tag[3] and attributes(tag[3])[2]:
+                nodes.append(Node(name, blocks[-1][0], hidden=True))
+                blocks.append((len(nodes) - 1, len(open_tags), False))
             continue
         for wanted in (_CLOSES.get(name, {"p"}),):
             while True:
@@ -150,20 +172,12 @@ def parse(source: str | None) -> Page:
                 if k is None or open_tags[k] not in wanted:
                     break
                 close(k)
-        hints, marked, hidden = [], None, False
-        for key, a, b, c in _ATTR.findall(tag[3]) if tag[3] else ():
-            key, value = key.lower(), (a or b or c).lower()
-            if key == "data-content":
-                marked = value != "no"
-            elif key == "hidden" or key == "aria-hidden":
-                hidden = hidden or value in ("", "true", "hidden")
-            else:
-                hints += _PART.findall(value)
+        hints, marked, hidden = attributes(tag[3])
         parent = blocks[-1][0]
         open_tags.append(name)
         runs.append((-1, ""))
-        nodes.append(Node(name, parent, tuple(dict.fromkeys(hints + ["hidden"] * hidden)), marked=nodes[parent].marked if marked is None else marked))
-        blocks.append((len(nodes) - 1, len(open_tags)))
+        nodes.append(Node(name, parent, hints, marked=nodes[parent].marked if marked is None else marked, hidden=hidden or nodes[parent].hidden))
+        blocks.append((len(nodes) - 1, len(open_tags), True))
     return page
 
 
@@ -175,7 +189,7 @@ def join(page: Page, keep: list[bool]) -> str:
             if now:
                 lines.append(" ".join("".join(now).split()))
                 now = []
-        elif keep[node]:
+        elif keep[node] and not page.nodes[node].hidden:
             now.append(value)
     if now:
         lines.append(" ".join("".join(now).split()))

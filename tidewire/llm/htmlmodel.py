@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.llm.domtree import Node, Page, join, parse
+from tidewire.llm.tables import without
 
 #: Features and edges that a fitted model keeps, most frequent first.
 MAX_COUNTS = 20_000
@@ -25,7 +26,7 @@ _SIZES = (0, 20, 60, 150, 400)
 
 
 def features(node: Node) -> list[str]:
-    own = [f"tag {node.tag}", *(f"hint {h}" for h in node.hints[:8])]
+    own = [f"tag {node.tag}", *(f"hint {h}" for h in node.hints)]
     if node.chars:
         own += [f"size {sum(node.chars > x for x in _SIZES)}", f"links {min(2, int(3 * node.linked / node.chars))}", f"commas {min(3, node.commas)}"]
     return own
@@ -94,7 +95,12 @@ def train(pages: DataFrame) -> Model:
 
 def labelled_pages(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
     """Pages made by rule in many layouts, with their article marked: column html."""
-    return spark.range(n).repartition(8).select(F.udf(lambda i: make_page(seed * 1_000_003 + i), "string")("id").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([make_page(seed * 1_000_003 + i) for i in batch.column(0).to_pylist()], pa.string())], ["html"])
+
+    return spark.range(0, n, 1, 8).mapInArrow(run, "html string")
 
 
 #: Names that pages commonly give to their parts.
@@ -199,7 +205,8 @@ def make_page(seed: int) -> str:
 
 
 def extract(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
-    """Add ``main_text``: each page's main text, empty for null or empty html. The model has at most MAX_COUNTS entries."""
+    """Add ``main_text``, in place of a column so named: each page's main text, empty for null or empty html. The model has at most MAX_COUNTS entries."""
+    pages = without(pages, "main_text")
     schema = pages.select("*").schema.add("main_text", "string")
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
