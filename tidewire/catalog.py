@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import monitor, news  # noqa: F401  (importing monitor registers its queries)
+from tidewire.plans import desk, monitor, news  # noqa: F401  (importing desk and monitor registers their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

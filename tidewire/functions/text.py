@@ -6,11 +6,13 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Query parameters that only track, and prefixes of such parameters.
-TRACKING = ("fbclid", "gclid", "ref", "mc_cid", "mc_eid", "igshid")
+#: Query parameters that only track, without case; others that do start with the prefix and have more.
+TRACKING = ("fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "ref", "cmpid", "ncid", "ico")
 TRACKING_PREFIX = "utm_"
 
 
@@ -31,6 +33,18 @@ def plain_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", " "), " +", " "))
 
 
+@F.pandas_udf(StringType())
+def compatible(text: pd.Series) -> pd.Series:
+    """Unicode's compatibility decomposition, which Spark has no function for."""
+    return text.str.normalize("NFKD")
+
+
+def title_key(text: Column) -> Column:
+    """Lower case, decomposed, without accents; runs of anything but letters and digits of any script are one space. Null is empty."""
+    plain = F.regexp_replace(compatible(F.lower(F.coalesce(text, F.lit("")))), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+
+
 def tokens(text: Column) -> Column:
     """Distinct title tokens of three characters or more, a plural s of five or more dropped."""
     long = F.filter(F.split(plain_words(text), " "), lambda w: F.length(w) >= 3)
@@ -42,32 +56,66 @@ def first_sentence(text: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """http(s) only: lower-case host, no fragment, no tracking parameters, no slash at the end of a path; else null."""
-    pattern = r"^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    part = lambda i: F.regexp_extract(url, pattern, i)
-    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=").getItem(0)).isin(*TRACKING) & ~F.lower(p).startswith(TRACKING_PREFIX))
-    query = F.array_join(kept, "&")
-    path = F.regexp_replace(part(3), "/+$", "")
-    whole = F.concat(part(1), F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(part(1) != "", whole)
+    """http(s) only: scheme and host in lower case, no default port, fragment, tracking parameters or slash at the end of a path; else null.
+
+    Parameters are decoded and encoded again as forms do. Hosts stay as written but for case; dots in paths aren't resolved.
+    """
+    pattern = r"^(?i)(https?)://((?:[^/?#@\s]*@)?)((?:\[[0-9a-f:.]+\]|[^/?#@:\[\]\s<>^|%]+))(?::(\d*))?([/\\][^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+    part = lambda i: F.regexp_extract(F.trim(url), pattern, i)
+    scheme, port = F.lower(part(1)), part(4)
+
+    def decoded(x: Column) -> Column:
+        return F.coalesce(F.try_url_decode(x), x)
+
+    def name(p: Column) -> Column:
+        return decoded(F.split(p, "=", 2).getItem(0))
+
+    def tracks(p: Column) -> Column:
+        key = F.lower(name(p))
+        return key.isin(*TRACKING) | key.rlike(f"^{TRACKING_PREFIX}[a-z0-9_]+$")
+
+    kept = F.filter(F.split(part(6), "&"), lambda p: (p != "") & ~tracks(p))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(name(p)), F.lit("="), F.url_encode(decoded(F.coalesce(F.get(F.split(p, "=", 2), F.lit(1)), F.lit("")))))), "&")
+    path = F.regexp_replace(part(5), "/+$", "")
+    shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+    whole = F.concat(scheme, F.lit("://"), part(2), F.lower(part(3)), shown, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(scheme != "", whole)
 
 
 def fingerprint(source: Column, title: Column, published: Column) -> Column:
-    """SHA-256 of source, folded title and publication time; missing times are empty."""
-    return F.sha2(F.concat_ws("\n", source, plain_words(F.coalesce(title, F.lit(""))), F.coalesce(published.cast("string"), F.lit(""))), 256)
+    """SHA-256 of source, the title's key and publication time; missing times are empty."""
+    return F.sha2(F.concat_ws("\n", source, title_key(title), F.coalesce(published.cast("string"), F.lit(""))), 256)
 
 
 def event_key(source: Column, upstream: Column, print_: Column) -> Column:
     return F.concat_ws("::", source, F.coalesce(upstream.cast("string"), print_))
 
 
+@lru_cache(1)
+def _address_patterns() -> tuple[str, str]:
+    """Patterns of whole IPv4 and IPv6 literals."""
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    v4, group = rf"(?:{octet}\.){{3}}{octet}", "[0-9a-f]{1,4}"
+    forms = [rf"(?:{group}:){{7}}{group}", rf"(?:{group}:){{6}}{v4}"]
+    for left in range(8):  # groups before the gap
+        head = "" if not left else rf"{group}(?::{group}){{{left - 1}}}"
+        right = 7 - left  # most groups after it
+        forms.append(rf"{head}::(?:{group}(?::{group}){{0,{right - 1}}})?" if right else rf"{head}::")
+        if right >= 2:
+            forms.append(rf"{head}::(?:{group}:){{0,{right - 2}}}{v4}")
+    return v4, "(?:" + "|".join(forms) + r")(?:%[0-9a-z\-.:]+)?"
+
+
 def private_address(ip: Column) -> Column:
-    """Whether an address is private, loopback, link-local, shared or unique local; null or malformed: true."""
-    v4 = F.regexp_extract(F.regexp_replace(F.lower(ip), "^::ffff:", ""), r"^(\d{1,3})\.(\d{1,3})\.\d{1,3}\.\d{1,3}$", 0)
-    a, b = (F.split(v4, "\\.").getItem(i).try_cast("int") for i in (0, 1))
+    """Whether an address is private, loopback, link-local, shared, unique local or reserved. Null and whatever is no IP literal: true."""
+    v4, v6 = _address_patterns()
+    low = F.lower(ip)
+    mapped = F.regexp_replace(low, "^::ffff:", "")
+    four = F.regexp_extract(mapped, rf"^({v4})$", 1)
+    a, b = (F.split(four, "\\.").getItem(i).try_cast("int") for i in (0, 1))
     inside = a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    v6 = F.lower(ip).rlike("^(::1?$|f[cd]|fe[89ab])")
-    return F.coalesce(F.when(v4 != "", inside).otherwise(v6 | ~ip.contains(":")), F.lit(True))
+    six = low.rlike(f"^(?:{v6})$")
+    return F.coalesce(F.when(four != "", inside).when(six, low.rlike("^(::1?$|f[cd]|fe80:|::ffff:)")), F.lit(True))
 
 
 def csv_cell(value: Column) -> Column:
@@ -81,11 +129,11 @@ def confidence(score: Column, official: Column, strong_geo: Column) -> Column:
 
 
 def time_ago(seconds: Column) -> Column:
-    """Age in the largest whole unit; future or missing times are 'now'."""
-    minutes = F.floor(F.greatest(F.coalesce(seconds, F.lit(0)), F.lit(0)) / 60)
+    """Age in the largest whole unit: 'just now' below a minute and for future times, empty for missing ones."""
+    minutes = F.floor(F.greatest(seconds, F.lit(0)) / 60)
     return (
-        F.when(minutes < 1, "now")
+        F.when(seconds.isNull(), "").when(minutes < 1, "just now")
         .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
         .when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h ago")))
         .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit("d ago")))
-    )
+    )

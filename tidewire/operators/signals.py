@@ -29,13 +29,14 @@ def density(events: DataFrame, as_of: datetime, hours: tuple[int, ...] = WINDOWS
 def publish_gap(items: DataFrame, newest: int = 50) -> DataFrame:
     """Rows (source_id, gap_seconds): median of the positive gaps before a source's newest items, null if there is none.
 
-    Gaps are taken over all items first. items: source_id, published_at.
+    Only a source's newest ``newest`` + 1 times are needed, which Spark finds before it shuffles. items: source_id, published_at.
     """
-    order = W.partitionBy("source_id").orderBy("published_at")
-    rows = items.where("published_at IS NOT NULL").select("source_id", "published_at", (F.unix_micros(F.col("published_at").cast("timestamp")) - F.unix_micros(F.lag("published_at").over(order).cast("timestamp"))).alias("gap"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("published_at")))).where(F.col("rank") <= newest)
+    order = W.partitionBy("source_id").orderBy(F.desc("published_at"))
+    last = items.where("published_at IS NOT NULL").select("source_id", "published_at", F.row_number().over(order).alias("rank")).where(F.col("rank") <= newest + 1)
+    micros = F.unix_micros(F.col("published_at").cast("timestamp"))
+    gaps = last.withColumn("gap", micros - F.lead(micros).over(order)).where(F.col("rank") <= newest)
     positive = F.when(F.col("gap") > 0, F.col("gap") / 1e6)
-    return rows.groupBy("source_id").agg(F.floor(F.percentile(positive, F.lit(0.5)) + 0.5).cast("long").alias("gap_seconds"))
+    return gaps.groupBy("source_id").agg(F.floor(F.percentile(positive, F.lit(0.5)) + 0.5).cast("long").alias("gap_seconds"))
 
 
 def markers(events: DataFrame) -> DataFrame:
@@ -97,9 +98,15 @@ def source_statistics(results: DataFrame) -> DataFrame:
 def interleave(entries: DataFrame, page_size: int = 12) -> DataFrame:
     """Add ``turn`` and ``page``: layers take turns, each in order of priority. entries: layer, item_id, priority_score.
 
-    Positions follow from counts: a row's place is the number of rows of earlier turns and of its turn's earlier layers.
+    Positions follow from counts: a row's turn is its place among rows of its layer's score after those of higher scores,
+    so no task sorts a layer; its place is the number of rows of earlier turns and of its turn's earlier layers.
     """
-    turns = entries.withColumn("turn", F.row_number().over(W.partitionBy("layer").orderBy(F.desc("priority_score"), "item_id")))
+    scores = entries.groupBy("layer", "priority_score").agg(F.count("*").alias("_same"))
+    above = F.sum("_same").over(W.partitionBy("layer").orderBy(F.desc("priority_score"))) - F.col("_same")
+    scores = scores.select(F.col("layer").alias("_layer"), F.col("priority_score").alias("_score"), above.alias("_above"))
+    within = F.row_number().over(W.partitionBy("layer", "priority_score").orderBy("item_id"))
+    turns = entries.withColumn("_within", within).join(scores, F.col("layer").eqNullSafe(F.col("_layer")) & F.col("priority_score").eqNullSafe(F.col("_score")))
+    turns = turns.withColumn("turn", F.col("_above") + F.col("_within")).select(*entries.columns, "turn")
     sizes = [(r.layer, r.n) for r in entries.groupBy("layer").agg(F.count("*").alias("n")).orderBy("layer").collect()]  # a row for each layer
     before = F.lit(0).cast("long")
     for layer, n in sizes:

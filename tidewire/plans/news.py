@@ -18,8 +18,8 @@ SQL: dict[str, str] = {}
 #: Regions by remainder; the sixth is missing.
 REGIONS = ("europe", "middle_east", "asia", "africa", "americas")
 #: A small lexicon of words that the texts have: group, phrase; and each group's domain and base.
-LEXICON = (("core", "that"), ("core", "with"), ("core", "and the"), ("care", "from"), ("care", "und der"), ("care", "que"), ("law", "license"), ("law", "the"), ("law", "la"))
-GROUPS = (("core", "conflict", 18), ("care", "humanitarian", 12), ("law", "diplomacy", 9))
+LEXICON = (("core", "that"), ("core", "with"), ("core", "and the"), ("care", "from"), ("care", "und der"), ("care", "que"), ("law", "license"), ("law", "the"), ("law", "la"), ("negative", "les"), ("negative", "for and"))
+GROUPS = (("core", "conflict", 18, True), ("care", "humanitarian", 12, False), ("law", "diplomacy", 9, False))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,7 +122,7 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nearest_unit", """WITH p AS (SELECT c_custkey AS point_id, c_mktsegment AS name, CAST(c_custkey % 90 AS DOUBLE) AS lat, CAST(c_custkey % 170 AS DOUBLE) AS lng FROM customer),
-u AS (SELECT p_partkey AS unit_id, (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[CAST(p_partkey % 5 + 1 AS BIGINT)] AS name, p_partkey % 90 - p_size * 1.0 AS a, p_partkey % 90 + p_size * 1.0 AS b, p_partkey % 170 - p_size * 1.0 AS c, p_partkey % 170 + p_size * 1.0 AS d FROM part WHERE p_partkey <= 2000)
+u AS (SELECT p_partkey AS unit_id, (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[CAST(p_partkey % 5 + 1 AS BIGINT)] AS name, p_partkey % 90 - p_size * 1.0 AS a, p_partkey % 90 + p_size * 1.0 AS b, p_partkey % 170 - p_size * 1.0 AS c, p_partkey % 170 + p_size * 1.0 AS d FROM part)
 SELECT point_id, first(unit_id ORDER BY pow(lat - (a + b) / 2, 2) + pow(lng - (c + d) / 2, 2), unit_id) AS unit_id FROM p JOIN u USING (name) WHERE lat BETWEEN a AND b AND lng BETWEEN c AND d GROUP BY point_id""")
 def nearest_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size, names = F.col("p_partkey"), F.col("p_size").cast("double"), F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
@@ -136,17 +136,24 @@ ACCENTS = "strip_accents(lower(coalesce({x}, '')))"
 PLAIN = "trim(regexp_replace(" + ACCENTS + ", '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("fingerprints", f"""SELECT doc_id, sha256(concat_ws(chr(10), coalesce(source, ''), {PLAIN.format(x="string_split_regex(text, '[.!?][ \t\r\n]')[1]")}, '')) AS fingerprint FROM documents""")
+@query("fingerprints", f"""SELECT doc_id, sha256(concat_ws(chr(10), coalesce(source, ''), trim(regexp_replace({ACCENTS.format(x="text")}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '')) AS fingerprint FROM documents""")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", fn.fingerprint(F.coalesce("source", F.lit("")), fn.first_sentence(F.col("text")), F.lit(None).cast("string")).alias("fingerprint"))
+    return docs.select("doc_id", fn.fingerprint(F.coalesce("source", F.lit("")), F.col("text"), F.lit(None).cast("string")).alias("fingerprint"))
 
 
-@query("canonical_urls", """WITH u AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$', ['a', 'b', 'c', 'd']) AS x FROM pages),
-q AS (SELECT page_id, x, regexp_replace(x.c, '/+$', '') AS path, array_to_string(list_filter(string_split(x.d, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ('fbclid', 'gclid', 'ref', 'mc_cid', 'mc_eid', 'igshid') AND NOT starts_with(lower(p), 'utm_')), '&') AS query FROM u)
-SELECT page_id, CASE WHEN x.a <> '' THEN x.a || '://' || lower(x.b) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url FROM q""")
+#: Variants of the pages' addresses, by page_id, that canonical forms must treat alike or apart; the second argument is the address.
+VARIANTS = ("upper(split_part({x}, ':', 1)) || substr({x}, length(split_part({x}, ':', 1)) + 1)", "{x} || '/?utm_source=a&id=' || page_id || '#top'", "{x} || '?yclid=1&b=x+y&igshid=2'", "{x} || '?REF=1&utm_=2'", "replace({x}, 'http', 'ftp')", "{x} || '///'")
+VARIANTS_SQL = "CASE page_id % 7 " + " ".join(f"WHEN {i} THEN {v.format(x='url')}" for i, v in enumerate(VARIANTS)) + " ELSE url END"
+
+
+@query("canonical_urls", f"""WITH v AS (SELECT page_id, trim({VARIANTS_SQL}) AS url FROM pages), u AS (SELECT page_id, regexp_extract(url, '(?i)^(https?)://([^/?#]+)([^?#]*)(?:\\?([^#]*))?(?:#.*)?$', ['a', 'b', 'c', 'd']) AS x FROM v),
+p AS (SELECT page_id, x, regexp_replace(x.c, '/+$', '') AS path, list_filter(string_split(x.d, '&'), lambda p: p <> '' AND NOT regexp_full_match(string_split(p, '=')[1], '(?i)utm_\\w+|fbclid|gclid|yclid|mc_cid|mc_eid|ref|cmpid|ncid|ico')) AS ps FROM u),
+q AS (SELECT *, array_to_string(list_transform(ps, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') AS query FROM p)
+SELECT page_id, CASE WHEN x.a <> '' THEN lower(x.a) || '://' || lower(x.b) || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url FROM q""")
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", fn.canonical_url(F.col("url")).alias("url"))
+    varied = table(spark, sf_dir, "pages").select("page_id", F.expr(VARIANTS_SQL).alias("url"))
+    return varied.select("page_id", fn.canonical_url(F.col("url")).alias("url"))
 
 
 LEXICON_SQL = f"""lex AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{p}')" for g, p in LEXICON)}) AS v(grp, phrase)),
@@ -165,29 +172,56 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
-@query("relevance", f"""WITH {LEXICON_SQL}, gs AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{d}', {b})" for g, d, b in GROUPS)}) AS v(grp, domain, base)),
-bg AS (SELECT id, grp, count(DISTINCT phrase) AS k FROM hits GROUP BY ALL), bd AS (SELECT id, domain, sum(base + 3 * least(k - 1, 3)) AS points FROM bg JOIN gs USING (grp) GROUP BY ALL),
-r AS (SELECT id, domain, CAST(points + CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 10 ELSE 0 END AS BIGINT) AS score, row_number() OVER (PARTITION BY id ORDER BY points DESC, domain) AS rank FROM bd)
-SELECT id, domain, score, score >= 25 AS accepted FROM r WHERE rank = 1""")
+RELEVANCE_TEXTS = ("CASE WHEN lang = 'de' AND doc_id % 3 = 0 THEN 'diplomacy' END AS context", "coalesce(source = 'src1', false) AS official", "coalesce(source = 'src2', false) AS aggregator")
+
+
+@query("relevance", f"""WITH {LEXICON_SQL}, gs AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{d}', {b}, {i}, {s})" for i, (g, d, b, s) in enumerate(GROUPS))}) AS v(grp, domain, base, place, strong)),
+bg AS (SELECT id, grp, domain, place, strong, base + 3 * least(count(DISTINCT phrase) - 1, 3) AS points FROM hits JOIN gs USING (grp) GROUP BY id, grp, domain, place, strong, base),
+t AS (SELECT doc_id AS id, {", ".join(RELEVANCE_TEXTS)} FROM documents),
+bd AS (SELECT id, domain, sum(points) AS points, min(place) AS place FROM (SELECT id, domain, points, place FROM bg UNION ALL SELECT id, context, 28, {len(GROUPS)} FROM t WHERE context IS NOT NULL) GROUP BY ALL),
+best AS (SELECT id, first(domain ORDER BY points DESC, place) AS domain FROM bd GROUP BY id),
+w AS (SELECT id, sum(points) AS points, count(DISTINCT domain) AS domains, bool_or(strong) AS strong FROM bg GROUP BY id), noisy AS (SELECT DISTINCT id FROM hits WHERE grp = 'negative'),
+r AS (SELECT t.id, best.domain, noisy.id IS NOT NULL AND NOT coalesce(strong, false) AND context IS NULL AS barred,
+  CASE WHEN noisy.id IS NULL THEN coalesce(points, 0) ELSE greatest(coalesce(points, 0) - 5, 0) END + CASE WHEN official THEN 15 ELSE 0 END + CASE WHEN aggregator THEN 20 ELSE 0 END + CASE WHEN domains > 1 THEN 10 ELSE 0 END + CASE WHEN context IS NULL THEN 0 ELSE 28 END AS score
+  FROM t LEFT JOIN w ON w.id = t.id LEFT JOIN best ON best.id = t.id LEFT JOIN noisy ON noisy.id = t.id)
+SELECT id, CASE WHEN NOT barred THEN domain END AS domain, CAST(CASE WHEN barred THEN 0 ELSE score END AS BIGINT) AS score, NOT barred AND score >= 25 AND domain IS NOT NULL AS accepted,
+CASE WHEN barred THEN 'negative_noise' WHEN NOT (score >= 25 AND domain IS NOT NULL) THEN 'low_relevance' END AS rejected_by FROM r""")
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.relevance(_hits(spark, sf_dir), spark.createDataFrame(list(GROUPS), "group string, domain string, base int"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *map(F.expr, RELEVANCE_TEXTS))
+    groups = spark.createDataFrame([(g, d, b, i, s) for i, (g, d, b, s) in enumerate(GROUPS)], "group string, domain string, base int, place int, strong boolean")
+    return phrases.relevance(texts, _hits(spark, sf_dir), groups)
+
+
+def _rounds(n: int) -> str:
+    """SQL of so many rounds of first-come dedupe; the driver's tables need fewer."""
+    out, left = [], "x"
+    for i in range(n):
+        out.append(f"""f{i} AS (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY source, fp) AND doc_id = min(doc_id) OVER (PARTITION BY source, up) AND doc_id = min(doc_id) OVER (PARTITION BY source, coalesce(url, 'none of ' || doc_id)) AS stays FROM {left}),
+s{i} AS (SELECT * FROM f{i} WHERE stays), l{i} AS (SELECT doc_id, source, fp, up, url FROM f{i} WHERE NOT stays AND (source, fp) NOT IN (SELECT (source, fp) FROM s{i}) AND (source, up) NOT IN (SELECT (source, up) FROM s{i}) AND (url IS NULL OR (source, url) NOT IN (SELECT (source, url) FROM s{i} WHERE url IS NOT NULL)))""")
+        left = f"l{i}"
+    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT doc_id, source FROM s{i}" for i in range(n))
+
+
+ITEM_KEYS = ("sha256(coalesce(text, '')) AS fp", "CAST(doc_id // 2 % 700 AS BIGINT) AS up", "CASE WHEN doc_id % 4 = 1 THEN 'u' || (doc_id // 3 % 400) END AS url")
 
 
-@query("new_items", """WITH d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS fp, CAST(doc_id % 5000 AS BIGINT) AS up FROM documents),
-k AS (SELECT * FROM d WHERE doc_id % 3 = 0), b AS (SELECT * FROM d WHERE doc_id % 3 <> 0),
-x AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = b.source AND k.fp = b.fp) AND NOT EXISTS (SELECT 1 FROM k WHERE k.source = b.source AND k.up = b.up)),
-y AS (SELECT *, min(doc_id) OVER (PARTITION BY source, fp) AS f FROM x), z AS (SELECT doc_id, source, up, min(doc_id) OVER (PARTITION BY source, up) AS f FROM y WHERE doc_id = f)
-SELECT doc_id, source FROM z WHERE doc_id = f""")
+@query("new_items", f"""WITH d AS (SELECT doc_id, coalesce(source, 'none') AS source, {", ".join(ITEM_KEYS)} FROM documents),
+k AS (SELECT * FROM d WHERE doc_id % 9 = 0), b AS (SELECT * FROM d WHERE doc_id % 9 <> 0), t AS (SELECT DISTINCT source, fp FROM d WHERE doc_id % 13 = 5),
+x AS (SELECT * FROM b WHERE (source, fp) NOT IN (SELECT (source, fp) FROM k) AND (source, up) NOT IN (SELECT (source, up) FROM k) AND (url IS NULL OR (source, url) NOT IN (SELECT (source, url) FROM k WHERE url IS NOT NULL)) AND (source, fp) NOT IN (SELECT (source, fp) FROM t)),
+{_rounds(12)}""")
 def new_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("source_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"), (F.col("doc_id") % 5000).alias("upstream_id"), F.lit(None).cast("string").alias("canonical_url"), F.col("doc_id").alias("ordinal"))
-    stones = spark.createDataFrame([], "source_id string, fingerprint string, expires_at timestamp")
-    got = store.new_items(rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0"), stones, datetime(2024, 1, 1))
+    """Documents as items with all three keys; one of nine is known, one of thirteen has a live tombstone."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("none")).alias("source_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"), F.floor(F.col("doc_id") / 2) % 700,
+        F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("u"), F.floor(F.col("doc_id") / 3) % 400)), F.col("doc_id").alias("ordinal")).toDF("doc_id", "source_id", "fingerprint", "upstream_id", "canonical_url", "ordinal")
+    stones = rows.where("doc_id % 13 = 5").select("source_id", "fingerprint", F.lit(datetime(2024, 1, 2)).alias("expires_at"))
+    got = store.new_items(rows.where("doc_id % 9 <> 0"), rows.where("doc_id % 9 = 0"), stones, datetime(2024, 1, 1))
     return got.select("doc_id", F.col("source_id").alias("source"))
 
 
 @query("latest_by_source", f"""WITH {EVENTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY priority_score DESC, published_at DESC, item_id) AS rank FROM e) SELECT source_id, item_id, priority_score FROM r WHERE rank = 1""")
 def latest_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = [F.desc("priority_score"), F.desc("published_at"), F.asc("item_id")]
+    order = [F.col("priority_score"), F.col("published_at"), -F.col("item_id")]
     return store.latest(events(spark, sf_dir), "source_id", order).select("source_id", "item_id", "priority_score")
 
 
