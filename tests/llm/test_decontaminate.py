@@ -45,7 +45,7 @@ def test_every_match_within_budget_is_found(spark):
             p, t = normal(item), normal(text)
             if not p or not t:
                 continue
-            if len(p) < 20:
+            if not budget(len(p), 0.08):
                 hit = 0 if f" {p} " in f" {t} " else None
             else:
                 hit = (0 if p in t else None) if d == 504 else distance_in(p, f" {t} ")
@@ -61,3 +61,16 @@ def test_every_match_within_budget_is_found(spark):
     assert len(want) > 40 and (502, 103) in want and (503, 103) not in want
     assert matches(docs_df, items_df.limit(0)).count() == 0 and matches(docs_df.limit(0), items_df).count() == 0
     assert Matcher([], 0.1).find("text") == {}
+
+
+def test_items_without_id_and_short_items(spark):
+    docs = spark.createDataFrame([(1, "see the quick brown fox run"), (2, "nothing here"), (3, "short ones: open sesame now"), (4, "openxsesame and shorts")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the quick brown fox"), (None, "quick brown"), (7, "open sesame"), (8, "short")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in matches(docs, items).collect()}
+    assert got == {(1, None): 0, (3, 7): 0, (3, 8): 0}  # budgets of 0 below 13 characters: whole, between word ends
+    loose = {(r.doc_id, r.item_id) for r in matches(docs, items, word_ends=False).collect()}
+    assert loose == {(1, None), (3, 7), (3, 8), (4, 8)}
+    assert budget(12, 0.08) == 0 and budget(13, 0.08) == 1
+    typo = spark.createDataFrame([(5, "an opun sesame day")], "doc_id long, text string")
+    longer = spark.createDataFrame([(9, "open sesame day")], "item_id long, text string")
+    assert [(r.item_id, r.distance) for r in matches(typo, longer).collect()] == [(9, 1)]
