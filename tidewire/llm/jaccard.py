@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.blocks import column, cuts, scaled
 from tidewire.llm.bloom import MAX_IDS, may_have, membership
 from tidewire.llm.graph import components
-from tidewire.llm.tables import Scratch
+from tidewire.llm.tables import Scratch, forget
 from tidewire.llm.textkit import buffers, chunks, shingle_sets
 
 #: One document of so many tells which shingles are frequent; the most frequent MAX_HINTS of them are broadcast.
@@ -331,9 +331,9 @@ def group_links(kept: DataFrame, comps: DataFrame, ids: DataFrame, docs: DataFra
     """
     sizes = kept.select("to", "sid", "n").distinct().groupBy("to").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
     pieces = F.lit(1) if every_pair else F.ceil(F.col("elements") / CHUNK_ELEMENTS)
-    large = (F.col("elements") > 2 * CHUNK_ELEMENTS) | (F.col("sets") > 2 * CHUNK_SETS)
-    key = F.when(large, F.xxhash64("tile", "part", F.pmod(F.xxhash64("sid"), pieces))).otherwise(F.xxhash64("to"))
-    dealt = scratch.keep(kept.join(sizes, "to").select(key.alias("key"), "sid", "n").distinct())
+    large = sizes.where((F.col("elements") > 2 * CHUNK_ELEMENTS) | (F.col("sets") > 2 * CHUNK_SETS))  # few, as each is large
+    key = F.when(F.col("elements").isNotNull(), F.xxhash64("tile", "part", F.pmod(F.xxhash64("sid"), pieces))).otherwise(F.xxhash64("to"))
+    dealt = scratch.keep(kept.join(large, "to", "left").select(key.alias("key"), "sid", "n").distinct())
 
     wanted = ids.join(dealt.select("sid"), "sid", "left_semi")
     rows = dealt.select("key", "sid").join(ids.withColumnRenamed("rep", "of"), "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left")
@@ -468,6 +468,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
             if not new.isEmpty():
                 edges, comps = edges.union(new), joined(comps, new, scratch)
         scratch.drop(kept)
+        forget(docs.sparkSession)
 
     least = of.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")).join(comps, F.col("sid") == F.col("id"), "left")
     least = least.select("sid", "rep", F.coalesce("comp", "sid").alias("comp"))

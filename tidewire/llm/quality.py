@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.blocks import column, cuts, pack, read, scaled, shards, text_bytes
 from tidewire.llm.bloom import having
-from tidewire.llm.tables import cut
+from tidewire.llm.tables import cut, forget
 from tidewire.llm.textkit import buffers, chunks, mix
 
 ORDER = 5
@@ -222,6 +222,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     parts = total // (BLOCK_BYTES * BLOCKS_AT_ONCE) + 1
     counts = cut(trusted_counts(trusted, n_shards, order))
     known = spark.sparkContext.broadcast(statistics(counts, order))
+    forget(spark)  # the trusted texts' shuffle
     blocks = pack(docs, limit=BLOCK_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
