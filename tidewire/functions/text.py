@@ -14,6 +14,11 @@ from pyspark.sql.types import StringType
 #: Query parameters that only track, without case; others that do start with the prefix and have more.
 TRACKING = ("fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "ref", "cmpid", "ncid", "ico")
 TRACKING_PREFIX = "utm_"
+#: Words of titles that tell nothing, in English and Turkish.
+TITLE_STOPS = (
+    "the a an and or of to in on for with at by from as is are was were be been after over amid into new says say said report reports reported reportedly "
+    "update live video watch photos breaking ve ile icin de da bir bu o ama cok gibi"
+).split()
 
 
 @lru_cache(1)
@@ -46,8 +51,9 @@ def title_key(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Distinct title tokens of three characters or more, a plural s of five or more dropped."""
-    long = F.filter(F.split(plain_words(text), " "), lambda w: F.length(w) >= 3)
+    """Distinct title tokens of three characters or more that are no stop words, a plural s of five or more dropped."""
+    plain = plain_words(F.replace(F.lower(text), F.lit("ı"), F.lit("i")))
+    long = F.filter(F.split(plain, " "), lambda w: (F.length(w) >= 3) & ~w.isin(*TITLE_STOPS))
     return F.array_distinct(F.transform(long, lambda w: F.when((F.length(w) >= 5) & w.endswith("s") & ~w.endswith("ss"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators import desk, health
-from tidewire.plans.news import EVENTS_SQL, as_of, events, query, table, text_of
+from tidewire.operators.stories import stories as clusters
+from tidewire.operators.stories import story_cards
+from tidewire.plans.news import EVENTS_SQL, QUERIES, as_of, events, query, table, text_of
 
 STAMP = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -338,3 +340,18 @@ def marker_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item_id"), F.col("s_name").alias("name"))
     out = desk.rehydrate(refs, items)
     return out.select("marker_id", F.nullif(F.array_join(F.transform("items", lambda x: x["name"]), ","), F.lit("")).alias("items"))
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as reports of one story a segment, nation and account, hour by hour. Order decides, so SQL has no short form: see tests/test_stories.py."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k = F.col("c_custkey")
+    title = F.concat_ws(" ", "c_mktsegment", F.lower("n_name"), F.lit("reports account"), F.concat(F.lit("no"), k % 7 + 100))
+    reports = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        k.alias("item_id"), k.alias("ordinal"), F.concat(F.lit("d"), k % 3).alias("domain"), title.alias("title"), F.col("n_name").alias("country"), F.timestamp_seconds(F.lit(1704067200) + k * 600).alias("at"),
+        (k % 11).alias("score"), (k % 13).cast("string").alias("source_id"), F.concat(F.lit("source "), k % 13).alias("source_name"))
+    found = clusters(reports).join(reports.drop("ordinal"), "item_id")
+    return story_cards(found).withColumn("sources", F.array_join("sources", ","))
+
+
+QUERIES["stories"] = stories
