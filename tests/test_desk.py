@@ -96,3 +96,19 @@ def test_source_table_order(spark):
     assert ids() == [2, 1, 3] and ids(sort="lastCheck") == [3, 1, 2] and ids(sort="items", descending=True) == [1, 3, 2] and ids(sort="runtime") == [1, 2, 3]
     assert ids("errors") == [2] and ids("personal") == [1] and ids("needsLocation") == [2] and ids(methods=("rss",), query=" SEA ") == [3]
     assert tuple(desk.source_kpis(table).first()) == (3, 1, 0, 1, 1, 1)
+
+
+def test_stream_and_column_agree_on_the_next_poll(spark):
+    import random
+
+    from tidewire.streaming import cadence
+
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        some = lambda n: rng.choice([None, 0, rng.randrange(1, n)])
+        rows.append((i, rng.randrange(50, 9000), rng.randrange(5), rng.randrange(8), some(9000), some(5000), some(5000), 300, 4000, some(400), rng.random() < 0.7, rng.choice([0, 0, rng.randrange(9)]), 10, rng.random() < 0.3, some(60000), rng.random()))
+    kinds = "i long, interval_s long, streak long, failures long, observed_s long, ttl_s long, max_age_s long, min_s long, max_s long, daily_budget long, ok boolean, new_items long, parsed_items long, rate_limited boolean, retry_after_s long, chance double"
+    got = {r.i: (r.interval_s, r.delay_s, r.streak, r.failures) for r in health.next_poll(spark.createDataFrame(rows, kinds)).collect()}
+    for i, interval, streak, failures, observed, ttl, age, low, high, budget, ok, new, parsed, limited, after, chance in rows:
+        a, b, c = cadence.next_interval(interval, streak, failures, ok, new, parsed, low, high, observed or 0, max(ttl or 0, age or 0), budget or 0)
+        assert got[i] == (a, cadence.delay(a, c, low, (after or 0) if limited else 0, chance), b, c), i

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.operators import desk, health
+from tidewire.operators import desk, health, registry
 from tidewire.operators.stories import stories as clusters
 from tidewire.operators.stories import story_cards
 from tidewire.plans.news import EVENTS_SQL, QUERIES, as_of, events, query, table, text_of
@@ -355,3 +356,29 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["stories"] = stories
+
+
+@query("data_rules", f"""WITH {STATE_SQL}, i AS (SELECT o_orderkey AS k, 's' || (o_custkey % 20) AS source_id, 'f' || (o_orderkey % 9000) AS fp, CASE WHEN o_orderkey % 2 = 0 THEN 'u' || (o_orderkey % 11000) END AS up FROM orders)
+SELECT 'effective_bounds' AS rule, source_id AS key FROM st WHERE NOT (3600 <= interval_s AND interval_s <= 34000000)
+UNION ALL SELECT 'unique_fingerprint', source_id || '|' || fp FROM i GROUP BY source_id, fp HAVING count(*) > 1
+UNION ALL SELECT 'unique_upstream', source_id || '|' || up FROM i WHERE up IS NOT NULL GROUP BY source_id, up HAVING count(*) > 1
+UNION ALL SELECT 'completed_when_not_running', CAST(o_orderkey AS VARCHAR) FROM orders WHERE (o_orderstatus = 'O') <> (o_custkey % 3 = 0) UNION ALL SELECT 'status', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')""")
+def data_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state, _ = _state(spark, sf_dir)
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    items = o.select(F.concat(F.lit("s"), F.col("o_custkey") % 20).alias("source_id"), F.concat(F.lit("f"), k % 9000).alias("fp"), F.when(k % 2 == 0, F.concat(F.lit("u"), k % 11000)).alias("up"))
+    parts = [
+        registry.breaks(state, "source_id", "effective_bounds", F.col("interval_s").between(3600, 34000000)), registry.repeated(items, ["source_id", "fp"], "unique_fingerprint"),
+        registry.repeated(items, ["source_id", "up"], "unique_upstream"), registry.breaks(o, "o_orderkey", "completed_when_not_running", (F.col("o_orderstatus") == "O") == (F.col("o_custkey") % 3 == 0)),
+        registry.unlisted(o, "o_orderkey", "o_orderstatus", ["O", "F"], "status"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("effective_catalog", """WITH b AS (SELECT s_suppkey AS source_id, s_name AS name FROM supplier), p AS (SELECT c_custkey AS source_id, c_name AS name FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey <> 5)
+SELECT * FROM b WHERE source_id NOT IN (SELECT source_id FROM p) UNION ALL SELECT * FROM p""")
+def effective_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built_in = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"))
+    personal = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("source_id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 3 == 0).alias("enabled"), F.when(F.col("c_nationkey") == 5, F.current_timestamp()).alias("deleted_at"))
+    return registry.effective_catalog(built_in, personal)

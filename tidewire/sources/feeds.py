@@ -106,6 +106,17 @@ def xml_items(feeds: DataFrame, notices: bool = False) -> DataFrame:
     )
 
 
+def text_field(*names: str) -> Column:
+    """The first of some fields of a variant ``row`` that is a text and not empty; dots lead into objects."""
+
+    def text(name: str) -> Column:
+        path = "$" + "".join(f"['{x}']" for x in name.split("."))
+        is_text = F.schema_of_variant(F.try_variant_get("row", path, "variant")) == "STRING"
+        return F.when(is_text, F.nullif(F.trim(F.try_variant_get("row", path, "string")), F.lit("")))
+
+    return F.coalesce(*map(text, names))
+
+
 def json_items(feeds: DataFrame) -> DataFrame:
     """Rows (source_id, ordinal, guid, title, link, summary, published) of JSON feeds and common envelopes.
 
@@ -115,16 +126,9 @@ def json_items(feeds: DataFrame) -> DataFrame:
     arrays = [F.try_variant_get(doc, p, "array<variant>") for p in ("$", *(f"$.{e}" for e in ENVELOPES), *(f"$.data.{e}" for e in ENVELOPES if e != "data"))]
     rows = feeds.select("source_id", F.posexplode(F.slice(F.coalesce(*arrays), 1, MAX_ROWS)).alias("ordinal", "row"))
 
-    def first(*names: str) -> Column:
-        def text(name: str) -> Column:
-            is_text = F.schema_of_variant(F.try_variant_get("row", f"$.{name}", "variant")) == "STRING"
-            return F.when(is_text, F.nullif(F.trim(F.try_variant_get("row", f"$.{name}", "string")), F.lit("")))
-
-        return F.coalesce(*map(text, names))
-
     out = rows.select(
-        "source_id", "ordinal", first("id", "guid", "uuid").alias("guid"), F.substring(first("title", "headline", "name"), 1, MAX_TITLE).alias("title"), web_link(first("url", "link", "web_url", "external_url")).alias("link"),
-        F.substring(first("summary", "description", "content_text", "excerpt"), 1, MAX_SUMMARY).alias("summary"),
-        moment(first("date_published", "publishedAt", "published_at", "pubDate", "date", "created_at")).alias("published"),
+        "source_id", "ordinal", text_field("id", "guid", "uuid").alias("guid"), F.substring(text_field("title", "headline", "name"), 1, MAX_TITLE).alias("title"), web_link(text_field("url", "link", "web_url", "external_url")).alias("link"),
+        F.substring(text_field("summary", "description", "content_text", "excerpt"), 1, MAX_SUMMARY).alias("summary"),
+        moment(text_field("date_published", "publishedAt", "published_at", "pubDate", "date", "created_at")).alias("published"),
     )
     return out.where("title <> ''")
