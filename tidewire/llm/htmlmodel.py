@@ -190,6 +190,8 @@ def make_page(seed: int) -> str:
         return f"<{tag}{named('footer')}>{rng.choice(['', '&copy; '])}{rng.choice([say(3, 30), '<p>' + say(3, 40) + '</p>' + links(3), links(5)])}</{tag}>"
 
     body = [f"<h1>{say(2, 12)}</h1>"] * (rng.random() < 0.8) + [piece() for _ in range(rng.choice([1, 3, 6, 12]))]
+    if rng.random() < 0.15:  # talk, verse or news in brief: many short paragraphs
+        body += [f"<p>{say(1, 5)}{rng.choice(['</p>', '</p>', '<br>', ''])}" for _ in range(rng.randint(8, 60))]
     for extra in (advert, side, notice, form):
         if rng.random() < 0.1:
             body.insert(rng.randrange(len(body) + 1), extra().replace(">", " data-content=no>", 1))
