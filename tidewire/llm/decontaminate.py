@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.tables import texts_in_small_batches
+
 _ODD = re.compile(r"[\W_]+")
 #: Characters of benchmark text that one pass over the documents handles; more items take more passes.
 PASS_CHARS = 4_000_000
@@ -114,6 +116,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, pas
     that their budget has no error are found whole, with ``word_ends`` only between word ends. Repeated rows of a pair give
     one row with the least distance; so do all items with a null item_id. Items go to the executors in passes of about ``pass_chars`` characters.
     """
+    texts_in_small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     passes = total // pass_chars + 1

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.blocks import column, cuts, scaled
 from tidewire.llm.bloom import MAX_IDS, may_have, membership
 from tidewire.llm.graph import components
-from tidewire.llm.tables import Scratch, forget
+from tidewire.llm.tables import Scratch, forget, texts_in_small_batches
 from tidewire.llm.textkit import buffers, chunks, shingle_sets
 
 #: One document of so many tells which shingles are frequent; the most frequent MAX_HINTS of them are broadcast.
@@ -438,6 +438,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, one_in: int
     """
     if percent < 50:
         raise ValueError("percent must be 50 or more")
+    texts_in_small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(document_sets(docs, k, percent, frequent_shingles(docs, k, one_in)))
     of = scratch.keep(rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")))

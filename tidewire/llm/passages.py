@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from tidewire.llm import sketch
 from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, expand, pack, read, shards, shrink, text_bytes
+from tidewire.llm.tables import texts_in_small_batches
 from tidewire.llm.textkit import buffers, windows, word_hashes, word_spans
 
 WINDOW = 13
@@ -58,6 +59,7 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     block gets one bit for every window that it asked about: whether an earlier document elsewhere has it. Windows are
     equal if two independent hashes of 64 bits are.
     """
+    texts_in_small_batches(docs.sparkSession)
     n_shards = shards(docs, text_bytes(docs), SHARD_BYTES)
     blocks = pack(docs, limit=block_bytes)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.blocks import column, cuts, pack, read, scaled, shards, text_bytes
 from tidewire.llm.bloom import having
-from tidewire.llm.tables import cut, forget
+from tidewire.llm.tables import cut, forget, texts_in_small_batches
 from tidewire.llm.textkit import buffers, chunks, mix
 
 ORDER = 5
@@ -290,6 +290,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quanti
     ``low``, at least the floor; false for texts without tokens, true for others if nothing is trusted. Repeated and null
     doc_ids give a row each.
     """
+    texts_in_small_batches(docs.sparkSession)
     ids = trusted_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
     known = cut(ids.withColumn("held", held))

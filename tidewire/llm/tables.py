@@ -7,11 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one Arrow batch of texts.
+ROWS_AT_ONCE = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_in_small_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
+    """Bound the rows that one Arrow batch of the session has; with whole texts Spark's default of 10,000 fills workers' memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """A table without its own columns of these names, for an operator that adds such columns."""
     taken = {n.lower() for n in names}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.tables import cut, without
+from tidewire.llm.tables import cut, texts_in_small_batches, without
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Features that a classifier keeps.
@@ -56,7 +56,7 @@ class Model:
             for word in set(WORD.findall(text.lower())) if text else ():
                 value = cache.get(word)
                 if value is None:
-                    if len(cache) > 300_000:
+                    if len(cache) > 150_000:
                         cache.clear()
                     value = cache[word] = sum(self.weights.get(f, 0.0) for f in features(word))
                 total += value
@@ -144,6 +144,7 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, usable: Column, c
     positives: doc_id of confirmed toxic documents. ``usable`` says which documents may serve as unlabelled text.
     The driver gets at most MAX_FEATURES features and those of them that each of MAX_POSITIVE + MAX_UNLABELLED documents has.
     """
+    texts_in_small_batches(docs.sparkSession)
     order = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     pos = positives.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE)
     rest = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").orderBy(order, "doc_id").limit(MAX_UNLABELLED)
@@ -165,6 +166,7 @@ def train(docs: DataFrame, positives: DataFrame, prior: float, usable: Column, c
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1), in place of a column so named, to every row. The model has at most MAX_FEATURES weights a classifier, so its broadcast is bounded. Null text: as empty."""
+    texts_in_small_batches(docs.sparkSession)
     docs = without(docs, "score")
     schema = docs.select("*").schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
