@@ -35,7 +35,7 @@ def fold(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Folded text as words of a-z and 0-9, one space between them."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
 
 
 @F.pandas_udf(StringType())
