@@ -26,7 +26,7 @@ class Windows:
     """All windows of a block: hash, first word and document of each, and each document's rank; ``checks`` are second hashes."""
 
     def __init__(self, table: pa.Table, k: int):
-        self.k = k
+        self.k, self._distinct = k, None
         self.data, self.offs = buffers(table.column("text"))
         self.starts, self.ends, self.rows = word_spans(self.data, self.offs)
         self.hashes, self.at = windows(word_hashes(self.data, self.starts, self.ends), self.rows, k)
@@ -37,10 +37,12 @@ class Windows:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes in order, the least doc_id of each, whether documents of two ids have it, and a window with it."""
-        order = np.lexsort((self.owner_id, self.hashes))
-        h, i = self.hashes[order], self.owner_id[order]
-        a, b = cuts(h)
-        return h[a], i[a], i[a] != i[b - 1], order[a]
+        if self._distinct is None:
+            order = np.lexsort((self.owner_id, self.hashes))
+            h, i = self.hashes[order], self.owner_id[order]
+            a, b = cuts(h)
+            self._distinct = h[a], i[a], i[a] != i[b - 1], order[a]
+        return self._distinct
 
     def checks(self) -> np.ndarray:
         return windows(word_hashes(self.data, self.starts, self.ends, second=True), self.rows, self.k)[0]

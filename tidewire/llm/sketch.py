@@ -77,7 +77,8 @@ def estimated_repeated(fingers: np.ndarray, shared: np.ndarray, bits: int = COUN
     """Which places in one range have a count of 2 or more by both lines; ``shared`` ones count twice. All that do have, and few others."""
     keep = np.ones(len(fingers), bool)
     for at in (fingers >> (FINGER_BITS - bits), (mix(fingers.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)):
-        count = np.bincount(at, minlength=1 << bits)
-        count += np.bincount(at[shared], minlength=1 << bits)
+        count = np.zeros(1 << bits, np.uint32)
+        np.add.at(count, at, np.uint32(1))
+        np.add.at(count, at[shared], np.uint32(1))
         keep &= count[at] >= 2
     return keep
