@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.blocks import column, cuts, pack, read, scaled, shards, text_bytes
 from tidewire.llm.bloom import having
-from tidewire.llm.tables import cut, forget, texts_in_small_batches
+from tidewire.llm.tables import Scratch, cut, forget, texts_in_small_batches
 from tidewire.llm.textkit import buffers, chunks, mix
 
 ORDER = 5
@@ -220,9 +220,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     total = text_bytes(docs)
     n_shards = min(65536, shards(docs, total, SHARD_BYTES))
     parts = total // (BLOCK_BYTES * BLOCKS_AT_ONCE) + 1
-    counts = cut(trusted_counts(trusted, n_shards, order))
-    known = spark.sparkContext.broadcast(statistics(counts, order))
+    counts = Scratch(spark).keep(trusted_counts(trusted, n_shards, order))
     forget(spark)  # the trusted texts' shuffle
+    known = spark.sparkContext.broadcast(statistics(counts, order))
     blocks = pack(docs, limit=BLOCK_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
