@@ -225,13 +225,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     known = spark.sparkContext.broadcast(statistics(counts, order))
     blocks = pack(docs, limit=BLOCK_BYTES)
 
+    def block_codes(table: pa.Table) -> np.ndarray:
+        codes = np.zeros(0, np.uint64)
+        for new, _ in grams(*padded(table.column("text").combine_chunks(), order), order):
+            codes = np.union1d(codes, new)
+        return codes
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                table = read(payload.as_py())
-                codes = np.zeros(0, np.uint64)
-                for new, _ in grams(*padded(table.column("text").combine_chunks(), order), order):
-                    codes = np.union1d(codes, new)
+                codes = block_codes(read(payload.as_py()))
                 found = list(dealt(codes, n_shards))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _ in found], pa.int32()), pa.array(np.full(len(found), mix(np.array([number], np.uint64))[0] % np.uint64(parts)), pa.int32()),
@@ -243,15 +246,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
         asked, of = np.unique(mine, return_inverse=True)
         values = log_probabilities(column(model, "codes", "u8")[0], column(model, "counts", "i8")[0], asked, *known.value, order)[of].astype(np.float32)
         ends = np.cumsum(sizes)
-        return pa.table({"block": asks.column("block"), "codes": asks.column("codes"), "values": pa.array([values[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
+        return pa.table({"block": asks.column("block"), "shard": asks.column("shard"), "values": pa.array([values[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
 
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         tables = [read(x) for x in block.column("payload").to_pylist()]
         table = pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
         data, first, size = padded(table.column("text").combine_chunks(), order)
-        codes, values = column(got, "codes", "u8")[0], column(got, "values", "f4")[0]
-        by = np.argsort(codes)
-        codes, values = codes[by], values[by].astype(np.float64)
+        codes, answers = block_codes(table), dict(zip(got.column("shard").to_pylist(), got.column("values").to_pylist()))
+        values = np.zeros(len(codes))
+        for shard, at in dealt(codes, n_shards):  # answers come in the order of what was asked
+            values[at] = np.frombuffer(answers[shard], "f4")
         sums = np.zeros(len(size))
         for new, owner in grams(data, first, size, order):
             if len(new):
@@ -263,7 +267,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
 
     model = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("int"))
     asked = blocks.mapInArrow(ask, "shard int, part int, block long, codes binary")
-    answers = asked.groupBy("shard", "part").cogroup(model.groupBy("shard", "part")).applyInArrow(answer, "block long, codes binary, values binary")
+    answers = asked.groupBy("shard", "part").cogroup(model.groupBy("shard", "part")).applyInArrow(answer, "block long, shard int, values binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, lang string, n_tokens long, log_perplexity double")
 
 
