@@ -96,3 +96,10 @@ def test_components(spark):
 def test_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard.near_duplicates(spark.createDataFrame([(1, None), (None, "a b c d e"), (None, "a b c d e")], "doc_id long, text string")).count() == 3
+
+
+def test_one_word_sets_of_words_made_to_collide(spark):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one.upper())]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

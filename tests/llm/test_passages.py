@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewire.llm import sketch
 from tidewire.llm.blocks import expand, pack, read, shrink
 from tidewire.llm.passages import drop_repeated_passages
+from tidewire.llm.textkit import buffers, word_hashes, word_spans
 
 
 def brute(rows, k):
@@ -91,3 +93,29 @@ def test_sketch_loses_no_repeated_window_and_filters_most_others():
     shared = np.arange(len(fingers)) >= len(fingers) - 50_000
     got = sketch.estimated_repeated(fingers, shared)
     assert got[len(once) :].all() and got[: len(once)].mean() < 0.15
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_made_to_collide_in_linear_hashes():
+    one = thue_morse(1024)
+    words = [one, one.translate(str.maketrans("ab", "ba")), one[:512], one[512:], one[:200], one[56:256], "a" * 16, "a" * 8 + "b" * 8, "b" * 8 + "a" * 8]
+    for fold in (False, True):
+        data, offs = buffers(pa.array([" ".join(words)]))
+        starts, ends, _ = word_spans(data, offs)
+        for second in (False, True):
+            assert len(set(word_hashes(data, starts, ends, fold, second).tolist())) == len(set(words))
+    data, offs = buffers(pa.array(["Ab aB ÄB äb x" + "Y" * 300, "ab ab Äb äb x" + "y" * 300]))
+    starts, ends, rows = word_spans(data, offs)
+    folded = word_hashes(data, starts, ends, fold=True)
+    assert (folded[:5] == folded[5:]).sum() == 5 and len(set(word_hashes(data, starts, ends).tolist())) == 8
+
+
+def test_a_word_that_only_looks_repeated_stays(spark):
+    one = thue_morse(1024)
+    rest = ["w%d" % i for i in range(12)]
+    rows = [(1, " ".join([*rest, one])), (2, " ".join([*rest, one.translate(str.maketrans("ab", "ba"))])), (3, " ".join(rest[:11]))]
+    got = {r.doc_id: r.n_removed for r in drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0}

@@ -20,6 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_SHARE = 0.7
 #: Rare words under which a template is posted.
 POSTED = 2
+FOUND = "array<struct<label:string,base:boolean,start:int,n_words:int,share:double>>"
 
 
 class Template(NamedTuple):
@@ -104,6 +105,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
     rows give equal results; an empty table gives no rows. Templates are part of the plan: give hundreds, not millions.
     """
     own = [f"`{c}`" for c in docs.columns if c.lower() not in ("n_words", "found")]
+    if not templates:
+        return docs.select(*own, F.size(text_words(F.col(text))).cast("long").alias("n_words"), F.array().cast(FOUND).alias("found"))
     frequency = document_frequency(docs, sorted({w for t in templates for _, p in t.must for w in p}), text)
     posted = [rarest(t, frequency) for t in templates]
     vocabulary = sorted({w for words in posted for w in words}, key=lambda w: (frequency.get(w, 0), w))  # rarest first
@@ -114,7 +117,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str
         return F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _strings(words).alias("rare"), F.array(*postings).alias("postings"), F.array(*must).alias("must"), _strings(t.words).alias("words"))
 
     words = F.col("_words")
-    places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*vocabulary), i))) if vocabulary else F.array().cast("array<int>")
+    places = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*vocabulary), i)))
     index = F.array(*(entry(t, p) for t, p in zip(templates, posted)))
 
     def starts(posting: Column) -> Column:

@@ -7,6 +7,7 @@ Hashes have 64 bits.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,12 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 WORDS_AT_ONCE = 1 << 17
 _RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_SECOND = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Start and multipliers of two families of hashes.
+_KEYS = [tuple(int(x) | 1 for x in _RNG.integers(0, 2**64, 4, dtype=np.uint64)) for _ in range(2)]
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -37,17 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 64)
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _STEP, np.uint64)], dtype=np.uint64)
-    return _powers
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,18 +77,47 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, second: bool = False) -> np.ndarray:
-    """A hash of each word's bytes; ``fold`` takes A-Z as a-z, ``second`` gives another hash, independent of the first."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    if len(starts) > WORDS_AT_ONCE:  # bounded memory
-        cuts = range(0, len(starts), WORDS_AT_ONCE)
-        return np.concatenate([word_hashes(data, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], fold, second) for i in cuts])
+    """A hash of each word's bytes; ``fold`` takes A-Z as a-z, ``second`` is another family with its own keys.
+
+    Eight bytes at a time are mixed in by a keyed multiply and shift, which is one to one for words of up to eight bytes, so
+    no pattern within words makes them collide in both families.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if fold else data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), WORDS_AT_ONCE):  # bounded memory
+        out[i : i + WORDS_AT_ONCE] = _hashed(padded, lanes, starts[i : i + WORDS_AT_ONCE], ends[i : i + WORDS_AT_ONCE], int(second))
+    return out
+
+
+def _hashed(padded: np.ndarray, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
+    start, odd, first, last = map(np.uint64, _KEYS[family])
     size = ends - starts
-    first = np.cumsum(size) - size
-    rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    value = (_SECOND if second else _LOWER if fold else _BYTE)[data[rel + np.repeat(starts, size)]]
-    value *= _power(int(size.max()) + 1)[rel]
-    return mix(np.add.reduceat(value, first))
+    value = size.astype(np.uint64) * odd + start
+    at, j = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        lane, left = lanes[starts[at] + j], size[at] - j
+        part = left < 8
+        lane[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        v = (value[at] ^ lane) * first
+        v ^= v >> np.uint64(32)
+        v *= last
+        v ^= v >> np.uint64(29)
+        value[at] = v
+        at, j = at[left > 8], j + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(start).to_bytes(8, "little")).digest()
+        value[i] = int.from_bytes(digest, "little")
+    return mix(value)
+
+
+def _rolled(value: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run and one more word; the shift keeps it from being linear in the words."""
+    value = value * _ROLL
+    value ^= value >> np.uint64(32)
+    value += word
+    return value
 
 
 def windows(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +125,9 @@ def windows(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    value = words[:n].copy()
+    value = words[:n]
     for j in range(1, k):
-        value *= _ROLL
-        value += words[j : n + j]
+        value = _rolled(value, words[j : n + j])
     ends = np.repeat(rows[1:], np.diff(rows))[:n]
     at = np.flatnonzero(np.arange(n) + k <= ends)
     return mix(value[at]), at
@@ -129,7 +148,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int, fold: bool = False)
         elif n:
             short = np.array([n], np.uint64)
             for w in words[rows[i] : rows[i + 1]]:
-                short = short * _ROLL + w
+                short = _rolled(short, w)
             out.append(mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
