@@ -1,22 +1,17 @@
 """Weighted terms in texts with punctuation: sectors, policy topics with their severity, and places that texts mention.
 
-Lexicons are tables that a caller gives. Longer terms claim their place in a text first, so ``crypto exchange`` leaves nothing
-for ``exchange`` there.
+Lexicons are tables that a caller gives; ``terms`` finds their places. Longer terms claim their place in a text first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import fold
+from tidewire.operators.terms import ALL, GROUP, NONE, term_places
 
-#: Most lexicon rows that are sent to all executors.
-MAX_TERMS = 100_000
 #: Least score and least weight of a strong term of a sector; scores of high and medium confidence.
 SECTOR_SCORE, STRONG_WEIGHT, HIGH, MEDIUM = 2, 2, 4, 3
 #: The topic of texts without any, the topic that is never below medium, and the labels of texts about several
@@ -30,65 +25,21 @@ def plain_marks(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_, r"(?U)\s+", " "))
 
 
-def spans(text: str, term: str) -> Iterator[tuple[int, int]]:
-    """Places of a term in a text that no letter a-z or digit touches."""
-    at = text.find(term)
-    while at >= 0:
-        end = at + len(term)
-        if not (at and _solid(text[at - 1])) and not (end < len(text) and _solid(text[end])):
-            yield at, end
-            at = text.find(term, end)
-        else:
-            at = text.find(term, at + 1)
-
-
-def _solid(char: str) -> bool:
-    return "a" <= char <= "z" or "0" <= char <= "9"
-
-
-def claimed_terms(text: str, terms: list[str], every: bool) -> dict[str, int]:
-    """How often each term, in this order, finds a free place in a text; once at most unless ``every``."""
-    taken: list[tuple[int, int]] = []
-    out: dict[str, int] = {}
-    for term in terms:
-        for a, b in spans(text, term):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                out[term] = out.get(term, 0) + 1
-                if not every:
-                    break
-    return out
-
-
-def _found(texts: DataFrame, lexicon: DataFrame, apart: bool, every: bool) -> DataFrame:
-    """Rows (id, group, term, n): occurrences of terms; groups claim places for themselves if ``apart``, else before one another."""
-    rows = lexicon.select(F.col("group").cast("string"), F.col("term").cast("string")).where("term <> ''").distinct().limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms")
-    parts: dict[str | None, dict[str, list[str]]] = {}
-    for r in sorted(rows, key=lambda r: (-len(r.term), r.term, r.group)):
-        parts.setdefault(r.group if apart else None, {}).setdefault(r.term, []).append(r.group)
-    shared = texts.sparkSession.sparkContext.broadcast(list(parts.values()))
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                for owners in shared.value:
-                    present = [t for t in owners if t in text]
-                    for term, n in claimed_terms(text, present, every).items() if present else ():
-                        out += [(key, group, term, n) for group in owners[term]]
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["id", "group", "term", "n"])
-
-    return texts.select("id", plain_marks(F.col("text")).alias("text")).mapInArrow(run, f"id {kind}, group string, term string, n long")
-
-
-def weighted_scores(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows (id, group, score, max_weight, terms): a term counts once in a text. texts: id, text; lexicon: group, term (plain), weight."""
+def marked(texts: DataFrame) -> DataFrame:
+    """Rows (id, text) as terms are looked for; an item's summary, where there is a column for it, follows the title as a sentence of its own."""
+    text = plain_marks(F.col("text"))
+    if "summary" in texts.columns:
+        text = F.trim(F.concat(text, F.lit(" . "), plain_marks(F.col("summary"))))
+    return texts.select("id", text.alias("text"))
+
+
+def weighted_scores(texts: DataFrame, lexicon: DataFrame, plural: bool = False) -> DataFrame:
+    """Rows (id, group, score, max_weight, terms): a term counts once in a text. texts: id, text; lexicon: group, term (plain), weight.
+
+    Within a group longer terms claim their first free place before shorter ones; ``plural``: terms may end in s or es.
+    """
     weights = lexicon.groupBy("group", "term").agg(F.max("weight").cast("long").alias("weight"))
-    hits = _found(texts, lexicon, apart=True, every=False).join(weights, ["group", "term"])
+    hits = term_places(marked(texts), lexicon, GROUP, every=False, plural=plural).join(weights, ["group", "term"])
     return hits.groupBy("id", "group").agg(F.sum("weight").alias("score"), F.max("weight").alias("max_weight"), F.sort_array(F.collect_set("term")).alias("terms"))
 
 
@@ -100,12 +51,15 @@ def sectors(scores: DataFrame) -> DataFrame:
 
 
 def places(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Rows (id, country, region, mentions): every free mention counts. lexicon: term, group (country, or region of its own), region, is_region."""
+    """Rows (id, country, region, mentions): every free mention counts. lexicon: term, group (country, or region of its own), region, is_region.
+
+    Longer names of countries claim their places before shorter ones; terms of regions count each by itself.
+    """
     of = lexicon.select("group", "region", "is_region").distinct()
     found = []
     for own in (False, True):
         part = lexicon.where(F.col("is_region") == own)
-        found.append(_found(texts, part, apart=own, every=True).groupBy("id", "group").agg(F.sum("n").alias("mentions")).join(of.where(F.col("is_region") == own), "group"))
+        found.append(term_places(marked(texts), part, NONE if own else ALL).groupBy("id", "group").agg(F.count("*").alias("mentions")).join(of.where(F.col("is_region") == own), "group"))
     rows = found[0].unionByName(found[1])
     return rows.select("id", F.when(~F.col("is_region"), F.col("group")).alias("country"), "region", "mentions")
 
@@ -125,13 +79,13 @@ def policy(texts: DataFrame, topics: DataFrame, signals: DataFrame, places_: Dat
     """Rows (id, topic, topic_score, severity, region, relevant, confidence) of every text.
 
     texts: id, text, official; topics and signals: lexicons for ``weighted_scores``, the latter with the groups escalation, magnitude and deescalation;
-    relevant_terms: term. The topic has the highest score, then the strongest term, then comes first in ``topic_order``.
+    relevant_terms: term. All but places may end in s or es. The topic has the highest score, then the strongest term, then comes first in ``topic_order``.
     """
     order = F.array_position(F.array(*map(F.lit, topic_order)), F.col("group"))
-    best = weighted_scores(texts, topics).groupBy("id").agg(F.max_by(F.struct("group", "score"), F.struct("score", "max_weight", -order)).alias("t")).select("id", F.col("t.group").alias("topic"), F.col("t.score").alias("topic_score"))
-    of = weighted_scores(texts, signals)
+    best = weighted_scores(texts, topics, plural=True).groupBy("id").agg(F.max_by(F.struct("group", "score"), F.struct("score", "max_weight", -order)).alias("t")).select("id", F.col("t.group").alias("topic"), F.col("t.score").alias("topic_score"))
+    of = weighted_scores(texts, signals, plural=True)
     levels = of.groupBy("id").agg(*(F.coalesce(F.max(F.when(F.col("group") == g, F.col("score"))), F.lit(0)).alias(g) for g in ("escalation", "magnitude", "deescalation")))
-    known = _found(texts, relevant_terms.select(F.lit("r").alias("group"), "term"), apart=True, every=False).select("id").distinct().withColumn("_known", F.lit(True))
+    known = term_places(marked(texts), relevant_terms.select(F.lit("").alias("group"), "term"), every=False, plural=True).select("id").distinct().withColumn("_known", F.lit(True))
     placed = display_region(places_).withColumnRenamed("region", "_region")
     rows = texts.select("id", "official").join(best, "id", "left").join(levels, "id", "left").join(known, "id", "left").join(placed, "id", "left")
     rows = rows.fillna(0, ["topic_score", "escalation", "magnitude", "deescalation"]).withColumn("topic", F.coalesce("topic", F.lit(NO_TOPIC)))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import plain_words
+from tidewire.functions.text import filter_words
+from tidewire.operators.terms import term_places
 
-#: Most phrases that become patterns in the plan; larger lexicons are joined.
-MAX_PATTERN_PHRASES = 20_000
 #: Most lexicon rows that are broadcast.
 MAX_BROADCAST_PHRASES = 200_000
 #: Fixed values of the relevance score: for each further phrase of a group, up to so many; noise, official and aggregator
@@ -18,64 +15,22 @@ MAX_BROADCAST_PHRASES = 200_000
 FURTHER, MOST_FURTHER, NOISE, OFFICIAL, AGGREGATOR, SEVERAL, CONTEXT, LEAST, NEGATIVE = 3, 3, 5, 15, 20, 10, 28, 25, "negative"
 
 
-def _pattern(phrases: list[str]) -> str:
-    """One pattern for all phrases that shares their beginnings, so that most places in a text fail at the first letter."""
-    tree: dict = {}
-    for phrase in phrases:
-        node = tree
-        for char in phrase:
-            node = node.setdefault(char, {})
-        node[""] = {}
-
-    def render(node: dict) -> str:
-        branches = [re.escape(c) + render(n) for c, n in sorted(node.items()) if c]
-        if not branches:
-            return ""
-        inner = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-        return f"(?:{inner})?" if "" in node else inner
-
-    return render(tree)
-
-
-def found_phrases(words: Column, phrases: list[str]) -> Column:
-    """Array of all occurrences of plain phrases as whole runs of words in a column of plain words; they may overlap."""
-    by_size: dict[int, list[str]] = {}
-    for phrase in phrases:
-        by_size.setdefault(phrase.count(" "), []).append(phrase)
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
-    parts = [F.regexp_extract_all(padded, F.lit(f"(?<= )(?=({_pattern(some)}) )"), F.lit(1)) for _, some in sorted(by_size.items())]
-    return F.concat(*parts) if parts else F.array().cast("array<string>")
-
-
-def phrase_hits(texts: DataFrame, lexicon: DataFrame, text: str = "text", longest: int = 3) -> DataFrame:
+def phrase_hits(texts: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """Rows (id, group, phrase, hits): occurrences of each phrase as a whole run of words.
 
-    texts: id and text; lexicon: group, phrase (already plain words, at most ``longest`` of them). A phrase under several
-    groups counts in each. Up to MAX_PATTERN_PHRASES phrases are looked for inside each row, so only hits become rows; more
-    are met by a join with all runs of words.
+    texts: id and text; lexicon: group, phrase, of any number and length. Texts and phrases are compared as ``filter_words`` gives
+    them; ``phrase`` comes back as it was given. A phrase under several groups counts in each. Null texts have no hits.
     """
-    phrases = [r.phrase for r in lexicon.select("phrase").distinct().limit(MAX_PATTERN_PHRASES + 1).collect()]
-    small = len(phrases) <= MAX_PATTERN_PHRASES
-    words = plain_words(F.col(text))
-    if small:
-        found = texts.select("id", F.explode(found_phrases(words, phrases)).alias("phrase"))
-    else:
-        rows = texts.select("id", F.split(words, " ").alias("w"))
-
-        def runs(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-            return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-        found = rows.select("id", F.explode(F.flatten(F.array(*map(runs, range(1, longest + 1))))).alias("phrase"))
-        small = lexicon.limit(MAX_BROADCAST_PHRASES + 1).count() <= MAX_BROADCAST_PHRASES
-    counted = found.groupBy("id", "phrase").agg(F.count("*").alias("hits"))
-    return counted.join(F.broadcast(lexicon) if small else lexicon, "phrase").select("id", "group", "phrase", "hits")
+    spelled = lexicon.select("group", "phrase", filter_words(F.col("phrase")).alias("term"))
+    found = term_places(texts.select("id", filter_words(F.col(text)).alias("text")), spelled.select(F.lit("").alias("group"), "term"))
+    return found.groupBy("id", "term").agg(F.count("*").alias("hits")).join(spelled, "term").select("id", "group", "phrase", "hits")
 
 
 def relevance(texts: DataFrame, hits: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (id, domain, score, accepted, rejected_by) of every text.
 
-    texts: id, official, aggregator (boolean), context (a domain that the event type gives, or null). groups: group, domain,
+    texts: id, official, aggregator (boolean), context (a domain that the event type gives, or null), and guard, if there is such a column: a reason
+    against the item, which without a context rejects it at once. groups: group, domain,
     base, place (its order), strong. A group with k different phrases scores base + 3 * min(k - 1, 3); the score is the sum over
     all groups, less 5 (not below 0) with noise phrases, which are those of the group NEGATIVE, plus the source's, the context's
     and, with several domains, 10 more points. Noise without a strong group or a context is rejected at once. The domain is the one with
@@ -92,13 +47,14 @@ def relevance(texts: DataFrame, hits: DataFrame, groups: DataFrame) -> DataFrame
         F.sum("points").alias("points"), F.min("place").alias("place"), F.bool_or("strong").alias("strong"), F.sum(F.when(~F.col("given"), F.col("points"))).alias("words"))
     by_text = merged.groupBy("id").agg(
         F.sum("words").alias("words"), F.count("words").alias("domains"), F.bool_or("strong").alias("strong"), F.max_by("domain", F.struct("points", -F.col("place"))).alias("domain"))
-    rows = texts.select("id", "official", "aggregator", "context").join(by_text, "id", "left").join(noisy, "id", "left")
+    guard = F.col("guard") if "guard" in texts.columns else F.lit(None).cast("string")
+    rows = texts.select("id", "official", "aggregator", "context", guard.isNotNull().alias("_guarded")).join(by_text, "id", "left").join(noisy, "id", "left")
     noise, known = F.coalesce("noise", F.lit(False)), F.col("context").isNotNull()
     score = F.coalesce("words", F.lit(0))
     score = F.when(noise, F.greatest(score - NOISE, F.lit(0))).otherwise(score)
     for when, more in ((F.col("official"), OFFICIAL), (F.col("aggregator"), AGGREGATOR), (F.col("domains") > 1, SEVERAL), (known, CONTEXT)):
         score = score + F.when(when, more).otherwise(0)
-    barred = noise & ~F.coalesce("strong", F.lit(False)) & ~known
+    barred = ((noise & ~F.coalesce("strong", F.lit(False))) | F.col("_guarded")) & ~known
     rows = rows.select("id", F.when(~barred, F.col("domain")).alias("domain"), F.when(barred, 0).otherwise(score).cast("long").alias("score"), barred.alias("_barred"))
     accepted = ~F.col("_barred") & (F.col("score") >= LEAST) & F.col("domain").isNotNull()
     reason = F.when(F.col("_barred"), "negative_noise").when(~accepted, "low_relevance")

@@ -164,7 +164,7 @@ hits AS (SELECT id, grp, phrase, count(*) AS hits FROM gr JOIN lex USING (phrase
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return phrases.phrase_hits(docs, spark.createDataFrame(list(LEXICON), "group string, phrase string"), longest=2)
+    return phrases.phrase_hits(docs, spark.createDataFrame(list(LEXICON), "group string, phrase string"))
 
 
 @query("phrase_hits", f'WITH {LEXICON_SQL} SELECT id, grp AS "group", phrase, hits FROM hits')
@@ -172,7 +172,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir)
 
 
-RELEVANCE_TEXTS = ("CASE WHEN lang = 'de' AND doc_id % 3 = 0 THEN 'diplomacy' END AS context", "coalesce(source = 'src1', false) AS official", "coalesce(source = 'src2', false) AS aggregator")
+RELEVANCE_TEXTS = ("CASE WHEN lang = 'de' AND doc_id % 3 = 0 THEN 'diplomacy' END AS context", "coalesce(source = 'src1', false) AS official", "coalesce(source = 'src2', false) AS aggregator", "CASE WHEN source = 'src3' THEN 'sports_or_non_relevant_domain' END AS guard")
 
 
 @query("relevance", f"""WITH {LEXICON_SQL}, gs AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{d}', {b}, {i}, {s})" for i, (g, d, b, s) in enumerate(GROUPS))}) AS v(grp, domain, base, place, strong)),
@@ -181,7 +181,7 @@ t AS (SELECT doc_id AS id, {", ".join(RELEVANCE_TEXTS)} FROM documents),
 bd AS (SELECT id, domain, sum(points) AS points, min(place) AS place FROM (SELECT id, domain, points, place FROM bg UNION ALL SELECT id, context, 28, {len(GROUPS)} FROM t WHERE context IS NOT NULL) GROUP BY ALL),
 best AS (SELECT id, first(domain ORDER BY points DESC, place) AS domain FROM bd GROUP BY id),
 w AS (SELECT id, sum(points) AS points, count(DISTINCT domain) AS domains, bool_or(strong) AS strong FROM bg GROUP BY id), noisy AS (SELECT DISTINCT id FROM hits WHERE grp = 'negative'),
-r AS (SELECT t.id, best.domain, noisy.id IS NOT NULL AND NOT coalesce(strong, false) AND context IS NULL AS barred,
+r AS (SELECT t.id, best.domain, (noisy.id IS NOT NULL AND NOT coalesce(strong, false) OR guard IS NOT NULL) AND context IS NULL AS barred,
   CASE WHEN noisy.id IS NULL THEN coalesce(points, 0) ELSE greatest(coalesce(points, 0) - 5, 0) END + CASE WHEN official THEN 15 ELSE 0 END + CASE WHEN aggregator THEN 20 ELSE 0 END + CASE WHEN domains > 1 THEN 10 ELSE 0 END + CASE WHEN context IS NULL THEN 0 ELSE 28 END AS score
   FROM t LEFT JOIN w ON w.id = t.id LEFT JOIN best ON best.id = t.id LEFT JOIN noisy ON noisy.id = t.id)
 SELECT id, CASE WHEN NOT barred THEN domain END AS domain, CAST(CASE WHEN barred THEN 0 ELSE score END AS BIGINT) AS score, NOT barred AND score >= 25 AND domain IS NOT NULL AS accepted,
