@@ -30,7 +30,7 @@ from tidewire.llm.blocks import column, cuts, scaled
 from tidewire.llm.bloom import MAX_IDS, may_have, membership
 from tidewire.llm.graph import components
 from tidewire.llm.tables import Scratch, forget, texts_in_small_batches
-from tidewire.llm.textkit import buffers, chunks, shingle_sets
+from tidewire.llm.textkit import buffers, chunks, give_back, shingle_sets, tidy
 
 #: One document of so many tells which shingles are frequent; the most frequent MAX_HINTS of them are broadcast.
 SAMPLE_ONE_IN = 16
@@ -66,6 +66,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[
     data, offs = buffers(batch.column("text"))
     for a, b in chunks(offs):
         yield batch.slice(a, b - a), shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k, fold=True)
+    give_back()
 
 
 def signature(values: np.ndarray) -> bytes:
@@ -178,6 +179,7 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
         best = block.append_column("at", pa.array(np.arange(block.num_rows))).group_by("sid").aggregate([("rep", "min"), ("at", "min")]).sort_by("sid")
         return block.take(best.column("at_min")).drop_columns(["rep"]).append_column("rep", best.column("rep_min"))
 
+    @tidy
     def ask(block: pa.Table) -> pa.Table:
         values, n = np.unique(column(distinct(block), "prefix", "u8")[0], return_counts=True)
         to = scaled(values, n_shards)
@@ -187,6 +189,7 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
             "values": pa.array([values[a:b].tobytes() for a, b in runs], pa.binary()), "several": pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in runs], pa.binary()),
         })
 
+    @tidy
     def answer(shard: pa.Table) -> pa.Table:
         values, sizes = column(shard, "values", "u8")
         twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(shard.column("several").to_pylist(), sizes)]
@@ -198,6 +201,7 @@ def shared_prefixes(rows: DataFrame) -> DataFrame:
         bits = [np.packbits(several[e - n : e]).tobytes() for n, e in zip(sizes, ends)]
         return pa.table({"block": shard.column("block"), "shard": shard.column("shard"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
+    @tidy
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         block = distinct(block)
         values, sizes = column(block, "prefix", "u8")
@@ -285,6 +289,7 @@ def promising(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
     rows = rows.select("tile", "part", "sid", "n", "sign", F.coalesce("comp", "sid").alias("comp"), F.xxhash64("tile", "part").alias("key"))
     tasks = _tasks(members.join(sets.select("sid", "n"), "sid"), F.col("n") / 3 + 64)
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         key, sid, comp, n = (table.column(x).to_numpy() for x in ("key", "sid", "comp", "n"))
         signs, order = table.column("sign"), np.argsort(key, kind="stable")
@@ -341,6 +346,7 @@ def group_links(kept: DataFrame, comps: DataFrame, ids: DataFrame, docs: DataFra
     rows = rows.select("key", "sid", F.coalesce("comp", "sid").alias("comp"), "arr")
     tasks = _tasks(dealt, F.col("n") * 8)
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         key, sid, comp = (table.column(x).to_numpy() for x in ("key", "sid", "comp"))
         arr, order = table.column("arr"), np.argsort(key, kind="stable")
@@ -395,6 +401,7 @@ def prefix_tiles(sets: DataFrame, comps: DataFrame, percent: int, hubs_only: boo
             arrays = [pa.array([values[a:b].tobytes() for a, b in runs], pa.binary())] + [pa.array([x[owner[a:b]].tobytes() for a, b in runs], pa.binary()) for x in packed]
             yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in runs], pa.int32()), *arrays], names=["shard", "values", "ids", "bands", "comps"][: 2 + len(packed)])
 
+    @tidy
     def meet(table: pa.Table) -> pa.Table:
         values, ids, bands = (column(table, x, t)[0] for x, t in (("values", "u8"), ("ids", "i8"), ("bands", "u2")))
         comp = ids if hubs_only else column(table, "comps", "i8")[0]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from tidewire.llm import sketch
 from tidewire.llm.blocks import BLOCK_BYTES, column, cuts, expand, pack, read, shards, shrink, text_bytes
 from tidewire.llm.tables import texts_in_small_batches
-from tidewire.llm.textkit import buffers, windows, word_hashes, word_spans
+from tidewire.llm.textkit import buffers, give_back, tidy, windows, word_hashes, word_spans
 
 WINDOW = 13
 #: Bytes of text whose windows one range of hashes has, on average.
@@ -75,12 +75,15 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
                         pa.array([int(shard[a]) for a, _ in runs], pa.int64()), pa.array([number] * len(runs), pa.int64()),
                         pa.array([shrink(finger[a:b]) for a, b in runs], pa.binary()), pa.array([zlib.compress(np.packbits(shared[a:b]).tobytes(), 1) for a, b in runs], pa.binary()),
                     ], names=["shard", "block", "fingers", "shared"])
+                give_back()
 
+    @tidy
     def estimate(table: pa.Table) -> pa.Table:
         fingers = [expand(x) for x in table.column("fingers").to_pylist()]
         shared = [np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8), count=len(f)) for x, f in zip(table.column("shared").to_pylist(), fingers)]
         return _bits(table, sketch.estimated_repeated(np.concatenate(fingers), np.concatenate(shared).astype(bool), counter_bits), np.array([len(f) for f in fingers]))
 
+    @tidy
     def ask(block: pa.Table, got: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if block.num_rows and got.num_rows:
@@ -95,6 +98,7 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
                 out.append((int(shard[a]), number, int(b - a), b"", hashes[keep][a:b].tobytes(), checks[a:b].tobytes(), ids[keep][a:b].tobytes()))
         return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=["shard", "block", "n", "bits", "hashes", "checks", "ids"])
 
+    @tidy
     def answer(table: pa.Table) -> pa.Table:
         if table.column("shard")[0].as_py() < 0:  # what a block asked, for the block itself
             return table.select(["block", "shard", "n", "bits"])
@@ -116,6 +120,7 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
     schema = docs.select("*").schema.add("n_words", "long").add("n_removed", "long")
     empty = pa.schema([(n, t) for n, t in _arrow_fields(docs)] + [("n_words", pa.int64()), ("n_removed", pa.int64())]).empty_table()
 
+    @tidy
     def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         if not block.num_rows:
             return empty

@@ -7,8 +7,10 @@ Hashes have 64 bits.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,26 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what a large block took would stay with them through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(step: Callable) -> Callable:
+    """A step over one group, or two of one key, that gives back what it used. Spark counts a function's arguments, so both kinds have theirs."""
+
+    def done(out: pa.Table) -> pa.Table:
+        give_back()
+        return out
+
+    if len(signature(step).parameters) == 1:
+        return lambda table: done(step(table))
+    return lambda left, right: done(step(left, right))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that close inputs get unrelated outputs."""
     x = x.astype(np.uint64, copy=True)
