@@ -14,6 +14,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 #: Terms that one automaton has at most; it is sent to all executors.
 MOST_TERMS = 100_000
@@ -117,25 +119,29 @@ def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every:
     return _claimed_later(texts, dealt, claim, every, plural, window)
 
 
-HITS = "array<struct<group:string,term:string,value:string,rank:int,first:int,end:int>>"
+HITS = "array<struct<group:string,term:string,value:string,rank:int,first:int,end:int,before:string,after:string"
 
 
-def term_hits(text: Column, lexicon: list[tuple[str, str, str | None]], beside: tuple[tuple[str, str], ...] = ()) -> Column:
+def term_hits(text: Column, lexicon: list[tuple[str, str, str | None]], beside: tuple[tuple[str, str], ...] = (), facts: tuple[list[dict], str] | None = None, window: int = 0) -> Column:
     """All places of a small lexicon's terms in a text, as an array beside the text's other columns; for up to ``MOST_TERMS`` of them.
 
     lexicon: (group, term, value); ``rank`` is a row's place in it. Hits come in the order of their ends. For each (left, right) of
     ``beside`` the first two hits of these groups with one character between them, of longer terms where several begin there, come again
-    as groups ``left+right`` and ``left+right>``. Null and empty texts have an empty array, null and empty terms are passed over.
+    as groups ``left+right`` and ``left+right>``. ``facts``: what is known of each row of the lexicon, and the type, for a further field. ``window``: so many characters before and
+    after a place come with it; expressions over hits should look at these and not at the text, which Spark may work out again for each hit. Null and empty texts have an empty array, null and empty terms are passed over.
     """
     lexicon = [(g, t, v) for g, t, v in lexicon]
     if len(lexicon) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms; term_places takes any number")
 
-    @F.arrow_udf(HITS)
+    known, known_type = facts or ([None] * len(lexicon), "string")
+    kinds = to_arrow_type(_parse_datatype_string(known_type))
+
+    @F.arrow_udf(f"{HITS},facts:{known_type}>>")
     def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers = [i for i, (_, t, _) in enumerate(lexicon) if t]
         finder = automaton([lexicon[i][1] for i in numbers])
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("group", "term", "value")] + [(n, pa.int32()) for n in ("rank", "first", "end")]))
+        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("group", "term", "value")] + [(n, pa.int32()) for n in ("rank", "first", "end")] + [("before", pa.string()), ("after", pa.string()), ("facts", kinds)]))
         for texts in column:
             out = []
             for text in texts.to_pylist():
@@ -143,7 +149,7 @@ def term_hits(text: Column, lexicon: list[tuple[str, str, str | None]], beside:
                 rows = [(*lexicon[n], n, a, b) for a, b, n in places]
                 for left, right in beside:
                     rows += _neighbours(places, lexicon, left, right)
-                out.append([dict(zip(("group", "term", "value", "rank", "first", "end"), r)) for r in rows])
+                out.append([dict(zip(("group", "term", "value", "rank", "first", "end"), r), before=text[max(0, r[4] - window) : r[4]], after=text[r[5] : r[5] + window], facts=known[r[3]]) for r in rows])
             yield pa.array(out, kind)
 
     return run(text)
