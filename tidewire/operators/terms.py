@@ -102,13 +102,15 @@ def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every:
 
     texts: id, text (lower case, as ``plain_words`` or ``plain_marks`` give it); lexicon: group, term. A term under several
     groups gives a row for each. ``claim``: whether a place counts only if no longer term, of the same group or of any, took it
-    (ties: the term that sorts first). Without ``every`` a term counts once a text, at its first place that is free.
+    (ties: the term that sorts first); with a column ``turn`` in the lexicon
+    all terms of a lower turn come before. Without ``every`` a term counts once a text, at its first place that is free.
     ``plural``: a term may end in s or es. ``window``: so many characters before and after a place come with it. ``first`` and
     ``end`` count characters from 0. Null and empty texts have no places, null and empty terms none either; repeated rows of
     texts count each, repeated rows of the lexicon once.
     """
-    known = lexicon.select(F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), F.col("term").cast("string").alias("term")).where("term <> ''").distinct()
-    terms = known.groupBy("term").agg(F.sort_array(F.collect_set("group")).alias("groups"))
+    turn = F.col("turn").cast("int") if "turn" in lexicon.columns else F.lit(0)
+    known = lexicon.select(F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), F.col("term").cast("string").alias("term"), turn.alias("turn")).where("term <> ''")
+    terms = known.groupBy("term").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.coalesce(F.min("turn"), F.lit(0)).alias("turn"))
     rows = terms.limit(limit + 1).collect()
     if len(rows) <= limit:
         return _one_pass(texts, rows, claim, every, plural, window)
@@ -116,7 +118,7 @@ def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every:
     dealt = [terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect() for i in range(parts)]
     if claim == NONE and every:
         return reduce(DataFrame.unionAll, (_one_pass(texts, rows, claim, every, plural, window) for rows in dealt))
-    return _claimed_later(texts, dealt, claim, every, plural, window)
+    return _claimed_later(texts, dealt, terms.select("term", "turn"), claim, every, plural, window)
 
 
 HITS = "array<struct<group:string,term:string,value:string,rank:int,first:int,end:int,before:string,after:string"
@@ -170,7 +172,7 @@ def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]],
 
 def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: bool, window: int) -> DataFrame:
     """``term_places`` of few terms."""
-    entries = sorted(((r.term, list(r.groups)) for r in rows), key=lambda r: (-len(r[0]), r[0]))
+    entries = [(r.term, list(r.groups)) for r in sorted(rows, key=lambda r: (r.turn, -len(r.term), r.term))]
     shared = texts.sparkSession.sparkContext.broadcast(entries)  # a bounded number of terms
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -191,7 +193,7 @@ def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: boo
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, group string, term string, first int, end int, before string, after string")
 
 
-def _claimed_later(texts: DataFrame, dealt: list[list], claim: str, every: bool, plural: bool, window: int) -> DataFrame:
+def _claimed_later(texts: DataFrame, dealt: list[list], turns: DataFrame, claim: str, every: bool, plural: bool, window: int) -> DataFrame:
     """``term_places`` of a lexicon in several parts: a pass over the texts finds the places of a part, then each text's places claim.
 
     Equal rows of texts are searched once and counted again at the end, so that a text's places can be gathered by key.
@@ -202,7 +204,8 @@ def _claimed_later(texts: DataFrame, dealt: list[list], claim: str, every: bool,
 
     def run(table: pa.Table) -> pa.Table:
         cells = list(zip(*(table.column(c).to_pylist() for c in ("term", "group", "first", "end"))))
-        order = sorted({t for t, *_ in cells}, key=lambda t: (-len(t), t))
+        turn = dict(zip(table.column("term").to_pylist(), table.column("turn").to_pylist()))
+        order = sorted(turn, key=lambda t: (turn[t], -len(t), t))
         number, groups = {t: n for n, t in enumerate(order)}, [set() for _ in order]
         row = {}
         for i, (t, g, a, b) in enumerate(cells):
@@ -212,6 +215,7 @@ def _claimed_later(texts: DataFrame, dealt: list[list], claim: str, every: bool,
         kept = _settled(places, [(t, sorted(groups[n])) for n, t in enumerate(order)], claim, every)
         return table.take(pa.array([row[p] for p in kept], pa.int64()))
 
+    found = found.join(turns, "term").select(*found.columns, "turn")
     kept = found.groupBy("id").applyInArrow(run, found.schema).withColumnRenamed("id", "_key")
     again = rows.select("_key", "id", F.explode(F.array_repeat(F.lit(0), F.col("_m").cast("int"))))
     return kept.join(again, "_key").select("id", "group", "term", "first", "end", "before", "after")
