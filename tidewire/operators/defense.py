@@ -28,7 +28,7 @@ BODIES = (("Pentagon", ("pentagon",)), ("NATO", ("nato",)), ("Defense Ministry",
 UNKNOWN, NOWHERE, SEVERAL = "Not specified", "Global / Unspecified", "Multi-region"
 #: Kinds of lexicon rows whose terms have weights, and of those that only name something.
 WEIGHTED, NAMED = ("segment", "activity", "commodity", "stress"), ("platform", "contractor", "relevance")
-FACT = "struct<kind:string,name:string,place:int,score:long,top:long,link:string,role:string>"
+FACT = "struct<kind:string,name:string,place:int,score:long,top:long,link:string,role:string,link_place:int>"
 
 
 def country_role(before: Column, after: Column, demonym: Column) -> Column:
@@ -52,7 +52,8 @@ def _facts(items: DataFrame, lexicon: DataFrame, countries: DataFrame) -> DataFr
     named = term_places(texts, names.select(key, "term"), NONE, every=False, plural=True).select("id", "group").distinct()
     facts = split(scores).unionByName(split(named), allowMissingColumns=True)
     of = lexicon.groupBy("kind", "name").agg(F.min("place").alias("place"), F.first("link").alias("link")).unionByName(cues.groupBy("kind", "name").agg(F.min("place").alias("place")), allowMissingColumns=True)
-    facts = facts.join(of, ["kind", "name"])
+    segments = lexicon.where("kind = 'segment'").groupBy(F.col("name").alias("link")).agg(F.min("place").alias("link_place"))
+    facts = facts.join(of.join(segments, "link", "left"), ["kind", "name"])
 
     found = term_places(texts, countries.select(F.col("country").alias("group"), "term"), ALL, window=WINDOW).join(countries.groupBy("country", "term").agg(F.bool_or("demonym").alias("demonym")).withColumnRenamed("country", "group"), ["group", "term"])
     order = F.struct((-F.length("term")).alias("a"), F.col("term").alias("b"), F.col("first").alias("c"))
@@ -61,8 +62,8 @@ def _facts(items: DataFrame, lexicon: DataFrame, countries: DataFrame) -> DataFr
     home = countries.groupBy("country").agg(F.min("region").alias("link")).withColumnRenamed("country", "group")
     said = said.join(home, "group").select("id", F.lit("country").alias("kind"), F.col("group").alias("name"), F.lit(0).alias("place"), "role", "link", "seen")
     rows = facts.unionByName(said, allowMissingColumns=True)
-    ordered = F.array_sort(F.collect_list(F.struct("place", "seen", "name", "kind", "score", "top", "link", "role")))
-    return rows.groupBy("id").agg(F.transform(ordered, lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "name", "place", "score", "top", "link", "role"))).cast(FACT)).alias("facts"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "seen", "name", "kind", "score", "top", "link", "role", "link_place")))
+    return rows.groupBy("id").agg(F.transform(ordered, lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "name", "place", "score", "top", "link", "role", "link_place"))).cast(FACT)).alias("facts"))
 
 
 def detect(items: DataFrame, lexicon: DataFrame, countries: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def detect(items: DataFrame, lexicon: DataFrame, countries: DataFrame) -> DataFr
     rows = rows.withColumns({"_platforms": of("platform"), "_makers": of("contractor"), "_scored": of("segment"), "commodities": names(F.filter(of("commodity"), lambda x: x["score"] >= LEAST)), "stress": F.coalesce(F.get(of("stress"), 0)["score"], F.lit(0)), "_countries": of("country")})
     boost = lambda s: PLATFORM_POINTS * F.size(F.filter("_platforms", lambda p: p["link"] == s))
     segments = F.filter(F.transform("_scored", lambda x: F.struct((-(x["score"] + boost(x["name"]))).alias("low"), x["place"].alias("place"), x["name"].alias("name"), (x["top"] >= STRONG).alias("strong"))), lambda x: (x["low"] <= -LEAST) & (x["strong"] | (boost(x["name"]) > 0)))
-    bare = F.array_except(F.transform("_platforms", lambda p: p["link"]), F.transform("_scored", lambda x: x["name"]))
-    only = F.transform(bare, lambda s: F.struct((-boost(s)).cast("long").alias("low"), F.lit(10**6).cast("int").alias("place"), s.alias("name"), F.lit(True).alias("strong")))
+    bare = F.filter("_platforms", lambda p: p["link"].isNotNull() & ~F.exists("_scored", lambda x: x["name"] == p["link"]))
+    only = F.array_distinct(F.transform(bare, lambda p: F.struct((-boost(p["link"])).cast("long").alias("low"), p["link_place"].alias("place"), p["link"].alias("name"), F.lit(True).alias("strong"))))
     rows = rows.withColumn("_segments", F.array_sort(F.concat(segments, only)))
     top = F.get("_segments", 0)["name"]
     ranked = F.array_sort(F.transform(F.filter(of("activity"), lambda x: x["score"] >= LEAST), lambda x: F.struct((-x["score"]).alias("low"), x["place"].alias("place"), x["name"].alias("name"))))

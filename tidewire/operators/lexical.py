@@ -21,7 +21,7 @@ NO_TOPIC, CONFLICT, SEVERAL, NOWHERE = "Diplomacy", "Crisis & Conflict", "Global
 
 def plain_marks(text: Column) -> Column:
     """Lower case without accents, punctuation kept but quotes and dashes as ASCII, white space squeezed; null is empty."""
-    ascii_ = F.translate(fold(F.coalesce(text, F.lit(""))), "‘’‛“”‟‐‑‒–—―", "'''\"\"\"------")
+    ascii_ = F.translate(fold(F.coalesce(text, F.lit(""))), "‘’ʼ′“”‒–—―−ı", "''''\"\"-----i")
     return F.trim(F.regexp_replace(ascii_, r"(?U)\s+", " "))
 
 
