@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import filter_words
-from tidewire.operators.terms import term_places
+from tidewire.operators.terms import MOST_TERMS, term_places
 
+#: Phrases that are looked for in one pass; more take further passes.
+MAX_PATTERN_PHRASES = MOST_TERMS
 #: Most lexicon rows that are broadcast.
 MAX_BROADCAST_PHRASES = 200_000
 #: Fixed values of the relevance score: for each further phrase of a group, up to so many; noise, official and aggregator
@@ -16,13 +18,13 @@ FURTHER, MOST_FURTHER, NOISE, OFFICIAL, AGGREGATOR, SEVERAL, CONTEXT, LEAST, NEG
 
 
 def phrase_hits(texts: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (id, group, phrase, hits): occurrences of each phrase as a whole run of words.
+    """Rows (id, group, phrase, hits): occurrences of each phrase as a whole run of words; they may overlap.
 
     texts: id and text; lexicon: group, phrase, of any number and length. Texts and phrases are compared as ``filter_words`` gives
     them; ``phrase`` comes back as it was given. A phrase under several groups counts in each. Null texts have no hits.
     """
     spelled = lexicon.select("group", "phrase", filter_words(F.col("phrase")).alias("term"))
-    found = term_places(texts.select("id", filter_words(F.col(text)).alias("text")), spelled.select(F.lit("").alias("group"), "term"))
+    found = term_places(texts.select("id", filter_words(F.col(text)).alias("text")), spelled.select(F.lit("").alias("group"), "term"), limit=MAX_PATTERN_PHRASES, overlap=True)
     return found.groupBy("id", "term").agg(F.count("*").alias("hits")).join(spelled, "term").select("id", "group", "phrase", "hits")
 
 

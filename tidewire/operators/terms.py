@@ -45,8 +45,8 @@ def _solid(char: str) -> bool:
     return "a" <= char <= "z" or "0" <= char <= "9"
 
 
-def term_spans(text: str, finder: ahocorasick.Automaton) -> list[Place]:
-    """Places (first, end, term) of all terms that nothing solid touches; places of one term do not overlap."""
+def term_spans(text: str, finder: ahocorasick.Automaton, overlap: bool = False) -> list[Place]:
+    """Places (first, end, term) of all terms that nothing solid touches; places of one term do not overlap one another unless ``overlap``."""
     out, last, size = [], {}, len(text)
     if not len(finder):
         return out
@@ -56,7 +56,7 @@ def term_spans(text: str, finder: ahocorasick.Automaton) -> list[Place]:
             continue
         for length, number in value:
             first = end - length
-            if first >= last.get(number, 0) and not (first and _solid(text[first - 1])):
+            if (overlap or first >= last.get(number, 0)) and not (first and _solid(text[first - 1])):
                 last[number] = end
                 out.append((first, end, number))
     return out
@@ -97,14 +97,14 @@ def _settled(places: list[Place], lexicon: list[tuple[str, list[str]]], claim: s
     return [(*p, group) for p in places for group in lexicon[p[2]][1]]
 
 
-def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every: bool = True, plural: bool = False, window: int = 0, limit: int = MOST_TERMS) -> DataFrame:
+def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every: bool = True, plural: bool = False, window: int = 0, limit: int = MOST_TERMS, overlap: bool = False) -> DataFrame:
     """Rows (id, group, term, first, end, before, after) of the places of terms in texts.
 
     texts: id, text (lower case, as ``plain_words`` or ``plain_marks`` give it); lexicon: group, term. A term under several
     groups gives a row for each. ``claim``: whether a place counts only if no longer term, of the same group or of any, took it
     (ties: the term that sorts first); with a column ``turn`` in the lexicon
     all terms of a lower turn come before. Without ``every`` a term counts once a text, at its first place that is free.
-    ``plural``: a term may end in s or es. ``window``: so many characters before and after a place come with it. ``first`` and
+    ``plural``: a term may end in s or es. ``overlap``: without claims places of one term may overlap one another. ``window``: so many characters before and after a place come with it. ``first`` and
     ``end`` count characters from 0. Null and empty texts have no places, null and empty terms none either; repeated rows of
     texts count each, repeated rows of the lexicon once.
     """
@@ -113,11 +113,11 @@ def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every:
     terms = known.groupBy("term").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.coalesce(F.min("turn"), F.lit(0)).alias("turn"))
     rows = terms.limit(limit + 1).collect()
     if len(rows) <= limit:
-        return _one_pass(texts, rows, claim, every, plural, window)
+        return _one_pass(texts, rows, claim, every, plural, window, overlap)
     parts = -(-terms.count() // max(1, limit // 2))  # by hash, so a part may be somewhat larger than the mean
     dealt = [terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == i).collect() for i in range(parts)]
     if claim == NONE and every:
-        return reduce(DataFrame.unionAll, (_one_pass(texts, rows, claim, every, plural, window) for rows in dealt))
+        return reduce(DataFrame.unionAll, (_one_pass(texts, rows, claim, every, plural, window, overlap) for rows in dealt))
     return _claimed_later(texts, dealt, terms.select("term", "turn"), claim, every, plural, window)
 
 
@@ -170,7 +170,7 @@ def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]],
     return [(f"{left}+{right}", *lexicon[n][1:], n, first, first - size), (f"{left}+{right}>", *lexicon[other[2]][1:], other[2], *other[:2])]
 
 
-def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: bool, window: int) -> DataFrame:
+def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: bool, window: int, overlap: bool = False) -> DataFrame:
     """``term_places`` of few terms."""
     entries = [(r.term, list(r.groups)) for r in sorted(rows, key=lambda r: (r.turn, -len(r.term), r.term))]
     shared = texts.sparkSession.sparkContext.broadcast(entries)  # a bounded number of terms
@@ -183,7 +183,7 @@ def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: boo
             rows: list[tuple] = []
             keys = batch.column("id")
             for i, text in enumerate(batch.column("text").to_pylist()):
-                places = term_spans(text, finder) if text else ()
+                places = term_spans(text, finder, overlap and claim == NONE) if text else ()
                 if places:
                     rows += [(i, g, lexicon[t][0], a, b, text[max(0, a - window) : a], text[b : b + window]) for a, b, t, g in _settled(places, lexicon, claim, every)]
             columns = list(zip(*rows)) or [()] * 7

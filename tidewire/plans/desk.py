@@ -189,16 +189,16 @@ def fresh_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return desk.fresh_enough(e.withColumn("collected_at", F.lit(as_of(e)))).select("item_id")
 
 
-ENTRIES_SQL = """en AS (SELECT doc_id AS entry_id, coalesce(lang, 'none') AS layer, coalesce(source, '') AS source, list_value('c' || (doc_id % 5), 'c' || (doc_id % 7)) AS countries, substr(coalesce(text, ''), 1, 90) AS title, substr(coalesce(text, ''), 91, 300) AS summary,
+ENTRIES_SQL = """en AS (SELECT doc_id AS entry_id, coalesce(lang, 'none') AS layer, coalesce(source, '') AS source, list_value('c' || (doc_id % 5), 'c' || (doc_id % 7)) AS countries, substr(coalesce(text, ''), 1, 90) AS title, substr(coalesce(text, ''), 91) AS summary,
 CASE WHEN doc_id % 3 = 0 THEN 'calm' END AS tone, CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 200 AS INTEGER)) END AS published_at, CASE WHEN doc_id % 4 = 0 THEN doc_id % 9 END AS reports FROM documents)"""
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as entries, whose titles and summaries are parts of the text."""
+    """Documents as entries, whose titles are the first 90 characters of the text and whose summaries the rest."""
     d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
         d.alias("entry_id"), F.coalesce("lang", F.lit("none")).alias("layer"), F.coalesce("source", F.lit("")).alias("source"), F.array(F.concat(F.lit("c"), d % 5), F.concat(F.lit("c"), d % 7)).alias("countries"),
-        F.substring(text, 1, 90).alias("title"), F.substring(text, 91, 300).alias("summary"), F.when(d % 3 == 0, "calm").alias("tone"),
+        F.substring(text, 1, 90).alias("title"), F.substring(text, F.lit(91), F.length(text)).alias("summary"), F.when(d % 3 == 0, "calm").alias("tone"),
         F.when(d % 11 != 0, F.lit(datetime(2024, 1, 1)) + F.make_dt_interval(F.lit(0), (d % 200).cast("int"))).alias("published_at"), F.when(d % 4 == 0, d % 9).alias("reports"))
 
 
