@@ -12,8 +12,8 @@ from tidewire.plans.context import DOCS
 from tidewire.plans.news import query, table
 
 PLACES = (
-    Place("Aland", 60.0, 20.0, "AX", "north", ("the", "of the", "aland")), Place("Bland", 1.5, -2.0, "BL", None, ("la", "de la")), Place("Cland", -3.0, 4.0, None, "south", ("der", "und der"), ("der",)),
-    Place("Dland", 5.0, 6.0, "BL", None, ("les", "que la")), Place("Eland", 7.0, 8.0, None, None, ("el", "are the", "zu der"), ("are the",)),
+    Place("Aland", 60.0, 20.0, "AX", "north", ("license", "with the", "from the", "aland")), Place("Bland", 1.5, -2.0, "BL", None, ("dans", "dans la")), Place("Cland", -3.0, 4.0, None, "south", ("nicht", "und der"), ("nicht",)),
+    Place("Dland", 5.0, 6.0, "BL", None, ("avec", "que la")), Place("Eland", 7.0, 8.0, None, None, ("para", "are the", "zu der"), ("are the",)),
 )
 
 
