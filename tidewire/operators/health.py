@@ -228,3 +228,30 @@ def seen_ids(old: DataFrame, new: DataFrame, most: int = 600) -> DataFrame:
     rows = old.unionByName(new).groupBy("view_id", "entry_id").agg(F.max("at").alias("at"))
     order = W.partitionBy("view_id").orderBy(F.desc("at"), F.desc("entry_id"))
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+
+
+#: Fixed names: columns that an attempt replaces, and those that it replaces only by a value.
+REPLACED = ("interval_s", "reason", "streak", "failures", "http_status", "error", "duration_ms", "new_items")
+KEPT = ("etag", "last_modified", "ttl_s", "max_age_s", "observed_s")
+
+
+def record_attempts(state: DataFrame, attempts: DataFrame) -> DataFrame:
+    """State of sources after their attempts; a source without one stays as it is, and an attempt of an unknown source adds none.
+
+    attempts: source_id, at, ok, changed, delay_s, and the columns of REPLACED and KEPT. The first five and REPLACED are taken from a source's
+    last attempt by ``at`` (distinct for a source); success, change of content and each of KEPT from its last attempt that has one. A wait
+    is a backoff if its reason is ``backoff``. state: source_id, attempted_at, succeeded_at, changed_at, next_poll_at, backoff_until, updated_at,
+    REPLACED and KEPT; further columns stay. All maxima combine before the shuffle.
+    """
+    last = lambda c, when=None: F.max_by(c, F.when(when, F.col("at")) if when is not None else F.col("at")).alias(f"_{c}")
+    seen = attempts.where("at IS NOT NULL").groupBy("source_id").agg(
+        F.max("at").alias("_at"), F.max(F.when(F.col("ok"), F.col("at"))).alias("_ok_at"), F.max(F.when(F.col("changed"), F.col("at"))).alias("_changed_at"),
+        last("delay_s"), *(last(c) for c in REPLACED), *(last(c, F.col(c).isNotNull()) for c in KEPT),
+    )
+    tried, wait = F.col("_at").isNotNull(), F.col("_at") + F.make_dt_interval(secs=F.col("_delay_s"))
+    values = {
+        "attempted_at": F.coalesce("_at", "attempted_at"), "succeeded_at": F.coalesce("_ok_at", "succeeded_at"), "changed_at": F.coalesce("_changed_at", "changed_at"),
+        "next_poll_at": F.when(tried, wait).otherwise(F.col("next_poll_at")), "backoff_until": F.when(~tried, F.col("backoff_until")).when(F.col("_reason") == "backoff", wait),
+        "updated_at": F.coalesce("_at", "updated_at"),
+    } | {c: F.when(tried, F.col(f"_{c}")).otherwise(F.col(c)) for c in REPLACED} | {c: F.coalesce(f"_{c}", c) for c in KEPT}
+    return state.join(seen, "source_id", "left").select(*(values[c].alias(c) if c in values else F.col(c) for c in state.columns))
