@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.plans import context, cyber, defense, desk, geography, lexical, monitor, news  # noqa: F401  (importing the others registers their queries)
+from tidewire.plans import context, cyber, defense, desk, geography, lexical, monitor, news, upkeep  # noqa: F401  (importing the others registers their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
