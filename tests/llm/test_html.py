@@ -78,3 +78,15 @@ def test_extract_rows(spark, model):
     assert len(out) == 5 and by[2] == "" and by[3] == ""
     assert by[1] == "The title of it\n" + ("A sentence, of some length. " * 8).strip() + "\nShort."
     assert extract(spark.createDataFrame([], "page_id long, html string"), model).count() == 0
+
+
+def test_reading_is_linear_in_open_elements():
+    import time
+
+    def seconds(n):
+        page = "<b>" * n + "<p>one</b> <i>two" * n + "<div>" * n + "three</i>" * n
+        start = time.perf_counter()
+        assert len(parse(page).nodes) == 2 * n + 1
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.01)

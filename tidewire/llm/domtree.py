@@ -91,6 +91,8 @@ def parse(source: str | None) -> Page:
         return page
     nodes, runs = page.nodes, page.runs
     open_tags: list[str] = []  # all open elements
+    places: dict[str, list[int]] = {}  # places in open_tags by name, so that no tag looks through all of them
+    solid: list[int] = []  # places in open_tags of those that are not inline
     blocks: list[tuple[int, int, bool]] = [(0, 0, True)]  # (node, depth of open_tags, whether it breaks lines) of open block elements
     links = 0
     at = 0
@@ -98,14 +100,23 @@ def parse(source: str | None) -> Page:
     def close(to: int) -> None:
         nonlocal links
         while len(open_tags) > to:
-            if open_tags.pop() == "a":
-                links -= 1
+            gone = open_tags.pop()
+            places[gone].pop()
+            links -= gone == "a"
+        while solid and solid[-1] >= to:
+            solid.pop()
         while len(blocks) > 1 and blocks[-1][1] > len(open_tags):
             if blocks.pop()[2]:
                 runs.append((-1, ""))
 
+    def begin(name: str) -> None:
+        places.setdefault(name, []).append(len(open_tags))
+        if name not in INLINE:
+            solid.append(len(open_tags))
+        open_tags.append(name)
+
     def text(raw: str) -> None:
-        if not raw or "head" in open_tags:
+        if not raw or places.get("head"):
             return
         value = html.unescape(raw) if "&" in raw else raw
         node = nodes[blocks[-1][0]]
@@ -131,9 +142,9 @@ def parse(source: str | None) -> Page:
             continue  # a comment, a declaration, or a tag cut off by the end
         name = name.lower()
         if tag[1]:
-            if name in open_tags:
-                k = len(open_tags) - 1 - open_tags[::-1].index(name)
-                if name in INLINE and any(t not in INLINE for t in open_tags[k + 1 :]):
+            if places.get(name):
+                k = places[name][-1]
+                if name in INLINE and solid and solid[-1] > k:
                     continue
                 close(k)
             continue
@@ -156,25 +167,22 @@ def parse(source: str | None) -> Page:
                 runs.append((-1, ""))
             continue
         if name in ("html", "body"):
-            if "head" in open_tags:
-                close(open_tags.index("head"))
+            if places.get("head"):
+                close(places["head"][0])
             continue
         if name in INLINE:
-            open_tags.append(name)
+            begin(name)
             links += name == "a"
             if tag[3] and attributes(tag[3])[2]:
                 nodes.append(Node(name, blocks[-1][0], hidden=True))
                 blocks.append((len(nodes) - 1, len(open_tags), False))
             continue
-        for wanted in (_CLOSES.get(name, {"p"}),):
-            while True:
-                k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i] not in INLINE), None)
-                if k is None or open_tags[k] not in wanted:
-                    break
-                close(k)
+        wanted = _CLOSES.get(name, {"p"})
+        while solid and open_tags[solid[-1]] in wanted:
+            close(solid[-1])
         hints, marked, hidden = attributes(tag[3])
         parent = blocks[-1][0]
-        open_tags.append(name)
+        begin(name)
         runs.append((-1, ""))
         nodes.append(Node(name, parent, hints, marked=nodes[parent].marked if marked is None else marked, hidden=hidden or nodes[parent].hidden))
         blocks.append((len(nodes) - 1, len(open_tags), True))
