@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from tidewire.operators import stories
 
 
@@ -21,7 +23,10 @@ def greedy(rows, words):
     return out
 
 
-def test_like_one_by_one(spark):
+@pytest.mark.parametrize("few", [100_000, -1])
+def test_like_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(stories, "FEW", few)
+    monkeypatch.setattr(stories, "PAIRS_A_ROW", 100 if few > 0 else 0)
     rng, now = random.Random(9), datetime(2024, 1, 10)
     vocabulary = ["drone", "strike", "port", "talks", "grain", "deal", "minister", "storm", "flood", "border", "ship", "vote", "ışık", "mines"]
     for seed, timeless in ((1, 0.0), (2, 0.2)):

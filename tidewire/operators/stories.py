@@ -12,6 +12,8 @@ from tidewire.operators.lineage import cut
 #: Least overlap of the smaller title, common tokens that are enough, that are with a shared country, and hours apart.
 OVERLAP, STRONG, ASSISTED, HOURS = 0.5, 3, 2, 48
 _BAND = HOURS * 3_600_000_000
+#: Pairs that keys may bring together for each row of keys, or at all, for the graph of similar pairs to be made; the result is the same.
+PAIRS_A_ROW, FEW = 100, 100_000
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -38,6 +40,55 @@ def _similar(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return met.where(ok).select("ordinal", "seed")
 
 
+def _bands(timed: int, *shifts: int) -> Column:
+    """Keys of an item in its own band, shifted; ``timed`` 0 gives keys without a band instead."""
+    band = F.floor(F.col("micros") / _BAND)
+    return _pairs(F.array(*(band + s for s in shifts)) if timed else F.array(F.lit(-1).cast("long")))
+
+
+def _meetings(items: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of tables (ordinal, key): of each two items that may match, one of each table of some pair share a key.
+
+    Items with times meet in bands. Those without meet all, apart, so they do not make the others meet across all time.
+    """
+    timed, timeless = items.where("micros IS NOT NULL"), items.where("micros IS NULL")
+    keyed = lambda rows, keys: rows.select("ordinal", F.explode(keys).alias("key"))
+    return [(keyed(timed, _bands(1, 0)), keyed(timed, _bands(1, -1, 0, 1))), (keyed(timeless, _bands(0)), keyed(items, _bands(0)))]
+
+
+def _few_pairs(items: DataFrame) -> bool:
+    """Whether the items' keys bring together at most PAIRS_A_ROW pairs for each row of keys, or FEW at all; counted, not made."""
+    for left, right in _meetings(items):
+        mine, theirs = (x.groupBy("key").agg(F.count("*").cast("double").alias(n)) for x, n in ((left, "a"), (right, "b")))
+        pairs, rows = mine.join(theirs, "key").agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") + F.col("b"))).first()
+        if (pairs or 0) > max(FEW, PAIRS_A_ROW * (rows or 0)):
+            return False
+    return True
+
+
+def _firsts_of_graph(items: DataFrame) -> DataFrame:
+    """Ordinals of the items that begin a story, from the graph of similar pairs, made once.
+
+    In each round those begin one that no earlier similar item is undecided for, and what is similar to one of them begins none; so an item
+    waits only for earlier items that it is similar to.
+    """
+    met = None
+    for left, right in _meetings(items):
+        two = left.join(right.withColumnRenamed("ordinal", "_other"), "key").select(F.greatest("ordinal", "_other").alias("ordinal"), F.least("ordinal", "_other").alias("seed"))
+        met = two if met is None else met.union(two)
+    edges, open_items, firsts = cut(_similar(met, items)), items.select("ordinal"), None
+    while True:
+        new = open_items.join(edges, "ordinal", "left_anti").select(F.col("ordinal").alias("seed"), F.lit(True).alias("hit"))
+        met = edges.join(new, "seed", "left").groupBy("ordinal").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
+        settled = cut(open_items.join(met, "ordinal", "left"))
+        first = settled.where("hit IS NULL").select("ordinal")
+        firsts = first if firsts is None else firsts.union(first)
+        open_items = settled.where("hit = false").select("ordinal")
+        if open_items.isEmpty():
+            return firsts
+        edges = cut(edges.join(open_items, "ordinal", "left_semi").join(open_items.withColumnRenamed("ordinal", "seed"), "seed", "left_semi").select("ordinal", "seed"))
+
+
 def stories(reports: DataFrame) -> DataFrame:
     """Rows (item_id, ordinal, story): reports in order of ``ordinal`` (distinct) join the first story whose first report they match, else begin one.
 
@@ -45,35 +96,33 @@ def stories(reports: DataFrame) -> DataFrame:
     hours (missing times match), when their titles share half of the smaller one's tokens and three tokens, or two and the country.
     reports: item_id, ordinal, domain, title, country, at.
 
-    In each round those begin a story that come first for all their keys among the undecided; what matches one of them begins none. Keys
-    are pairs of tokens in a time band, so no task holds a whole domain.
+    Where keys (pairs of tokens in a time band) bring few pairs together, the graph of similar pairs settles all. Where a story is hot, its
+    pairs are too many to make: then those reports begin a story that come first for all their keys, what matches them is settled, and the
+    rest is looked at again. Both ways give the same stories, and no task holds a whole domain.
     """
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     country = F.nullif(F.lower(F.trim("country")), F.lit(""))
     items = cut(reports.select("item_id", "ordinal", F.coalesce("domain", F.lit("")).alias("domain"), tokens(F.coalesce("title", F.lit(""))).alias("words"), country.alias("place"), micros.alias("micros")))
-    band = F.floor(F.col("micros") / _BAND)
-    timeless, some = F.lit(-1).cast("long"), not items.where("micros IS NULL").isEmpty()
-    every = F.array(timeless) if some else F.array().cast("array<long>")
-    blocks = F.concat(F.when(band.isNotNull(), F.array(band, band + 1)).otherwise(F.array().cast("array<long>")), every)
-    undecided = cut(items.select("ordinal", F.explode_outer(_pairs(blocks)).alias("key")))
-    asks = items.select("ordinal", F.explode(_pairs(F.concat(F.when(band.isNotNull(), F.array(band)).otherwise(F.array().cast("array<long>")), every))).alias("key"))
-    offers = F.concat(F.when(band.isNotNull(), F.array(band - 1, band, band + 1)).otherwise(F.array().cast("array<long>")), every)
-    seeds = None
-    while not undecided.isEmpty():
-        first = undecided.groupBy("key").agg(F.min("ordinal").alias("first"))
-        ranked = undecided.join(first, "key", "left")
+    band, none = F.floor(F.col("micros") / _BAND), F.array().cast("array<long>")
+    every = F.array(F.lit(-1).cast("long")) if not items.where("micros IS NULL").isEmpty() else none
+    around = lambda *shifts: _pairs(F.concat(F.when(band.isNotNull(), F.array(*(band + s for s in shifts))).otherwise(none), every))
+    asks = items.select("ordinal", F.explode(around(0)).alias("key"))
+    offer = lambda seeds: items.join(seeds, "ordinal").select(F.col("ordinal").alias("seed"), F.explode(around(-1, 0, 1)).alias("key"))
+    left, seeds = items, items.select("ordinal").limit(0)
+    while not left.isEmpty():
+        if _few_pairs(left):
+            seeds = seeds.union(_firsts_of_graph(left))
+            break
+        undecided = cut(left.select("ordinal", F.explode_outer(around(0, 1)).alias("key")))
+        ranked = undecided.join(undecided.groupBy("key").agg(F.min("ordinal").alias("first")), "key", "left")
         new = cut(ranked.groupBy("ordinal").agg(F.bool_and(F.col("key").isNull() | (F.col("ordinal") == F.col("first"))).alias("ok")).where("ok").select("ordinal"))
-        offered = items.join(new, "ordinal").select(F.col("ordinal").alias("seed"), F.explode(_pairs(offers)).alias("key"))
-        waiting = undecided.join(new, "ordinal", "left_anti").select("ordinal").distinct()
-        pairs = asks.join(waiting, "ordinal", "left_semi").join(offered, "key").select("ordinal", "seed")
-        members = cut(_similar(pairs, items).select("ordinal").distinct())
-        undecided = cut(undecided.join(new.union(members), "ordinal", "left_anti"))
-        seeds = new if seeds is None else seeds.union(new)
-    if seeds is None:
-        return items.select("item_id", "ordinal", F.col("ordinal").alias("story"))
+        waiting = left.join(new, "ordinal", "left_anti").select("ordinal")
+        members = _similar(asks.join(waiting, "ordinal", "left_semi").join(offer(new), "key").select("ordinal", "seed"), items).select("ordinal").distinct()
+        left = cut(left.join(new.union(members), "ordinal", "left_anti"))
+        seeds = seeds.union(new)
+    seeds = cut(seeds)
     rest = items.join(seeds, "ordinal", "left_anti").select("ordinal")
-    offered = items.join(seeds, "ordinal").select(F.col("ordinal").alias("seed"), F.explode(_pairs(offers)).alias("key"))
-    best = _similar(asks.join(rest, "ordinal", "left_semi").join(offered, "key").select("ordinal", "seed"), items).groupBy("ordinal").agg(F.min("seed").alias("story"))
+    best = _similar(asks.join(rest, "ordinal", "left_semi").join(offer(seeds), "key").select("ordinal", "seed"), items).groupBy("ordinal").agg(F.min("seed").alias("story"))
     return items.join(best, "ordinal", "left").select("item_id", "ordinal", F.coalesce("story", "ordinal").alias("story"))
 
 
