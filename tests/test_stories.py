@@ -41,6 +41,20 @@ def test_like_one_by_one(spark, monkeypatch, few):
     assert stories.stories(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "most"), [(10**6, 6), (60, None)])
+def test_long_time_takes_few_steps(spark, monkeypatch, block, most):
+    """Each report hangs on the ones before it, through all of the time; blocks and their messages give what one after another gives."""
+    steps, cut = [], stories.cut
+    monkeypatch.setattr(stories, "BLOCK", block)
+    monkeypatch.setattr(stories, "cut", lambda df: steps.append(1) or cut(df))
+    rng, now = random.Random(4), datetime(2024, 1, 1)
+    rows = [(i, i, "a", f"alpha report {rng.choice(['drone', 'grain', 'storm'])} {rng.choice(['port', 'ship', 'vote'])} talks", None, now + timedelta(hours=6 * i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "item_id long, ordinal long, domain string, title string, country string, at timestamp")
+    words = {r.item_id: r.w for r in df.select("item_id", stories.tokens(df.title).alias("w")).collect()}
+    assert {r.item_id: r.story for r in stories.stories(df).collect()} == greedy(rows, words)
+    assert most is None or len(steps) <= most
+
+
 def test_cards(spark):
     now = datetime(2024, 1, 1)
     rows = [(1, 1, 10, "s", "S", 5, now), (1, 2, 11, "t", "T", 9, now), (1, 3, 12, "s", "S2", 9, now + timedelta(1)), (4, 4, 13, "u", "U", None, None)]
