@@ -71,3 +71,23 @@ def test_odd_rows(spark):
     assert got == [("a", 0, 0), ("a", 1, 0), ("b", 0, 9), ("b", 0, 9), ("c", 2, 1)]
     assert sorted((r.unit_id, len(r.points)) for r in outlines.simplified(df, 2).where("unit_id = 'b'").collect()) == [("b", 4), ("b", 4)]
     assert outlines.simplified(df.limit(0)).count() == 0
+
+
+def test_many_rings_at_once_are_like_each_alone():
+    import numpy as np
+
+    rng = random.Random(5)
+    rings = [blob(rng, n, 10 ** rng.uniform(-3.5, 0.3)) for n in (3, 4, 5, 9, 60, 300, 4, 700)] + [[], [(1.0, 2.0)], [(1.0, 2.0)] * 9, blob(rng, 40, 2)]
+    at = np.array([p for r in rings for p in r])
+    levels, counts, extents = outlines.levels_of_all(at[:, 0], at[:, 1], np.array([len(r) for r in rings]))
+    first = 0
+    for i, ring in enumerate(rings):
+        own = np.array(ring).reshape(-1, 2)
+        alone = outlines.levels_of(own[:, 0], own[:, 1])
+        assert (alone[0].tolist(), alone[1], alone[2]) == (levels[first : first + len(ring)].tolist(), counts[i].tolist(), extents[i].tolist())
+        first += len(ring)
+        now, tolerance = ring, 0.0005
+        for r in range(outlines.ROUNDS):
+            now = (t if len(t := thin(now, tolerance)) >= 4 else now[:4]) if len(now) > 4 else now
+            assert counts[i][r + 1] == len(now)
+            tolerance *= 2

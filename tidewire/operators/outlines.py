@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -18,33 +18,66 @@ _TOLERANCES = TOLERANCE * 2.0 ** np.arange(ROUNDS)
 _PASS = StructType([StructField("levels", ArrayType(IntegerType())), StructField("counts", ArrayType(LongType())), StructField("extents", ArrayType(DoubleType()))])
 
 
-def _weights(xy: np.ndarray) -> np.ndarray:
-    """For each vertex the greatest squared tolerance below which Douglas and Peucker's rule keeps it.
+def _weights(xy: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each vertex of rings, which begin at ``starts``, the greatest squared tolerance below which Douglas and Peucker's rule keeps it.
 
     The rule splits at the farthest vertex whatever the tolerance is, and stops where that is near: so a vertex stays while its own distance
-    and those of all splits above it exceed the tolerance.
+    and those of all splits above it exceed the tolerance. The splits of one depth are made together for all rings.
     """
     weight = np.zeros(len(xy))
-    weight[[0, -1]] = np.inf
-    spans = [(0, len(xy) - 1, np.inf)]
-    while spans:
-        a, b, above = spans.pop()
-        if b - a < 2:
-            continue
-        side, arm = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        length = side @ side
-        along = np.clip(arm @ side / length, 0, 1) if length > 0 else np.zeros(len(arm))
-        away = ((arm - along[:, None] * side) ** 2).sum(axis=1)
-        far = int(away.argmax())
-        if away[far] > 0:
-            m, w = a + 1 + far, min(above, away[far])
-            weight[m] = w
-            spans += [(a, m, w), (m, b, w)]
-    return weight
-
-
-def _extent(xy: np.ndarray) -> float:
-    return float(np.ptp(xy, axis=0).max()) if len(xy) else 0.0
+    a, b = starts, np.append(starts[1:], len(xy)) - 1
+    weight[a] = weight[b] = np.inf
+    above = np.full(len(a), np.inf)
+    while True:
+        wide = b - a >= 2
+        a, b, above = a[wide], b[wide], above[wide]
+        if not len(a):
+            return weight
+        n = b - a - 1
+        first = np.cumsum(n) - n
+        span = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(span)) - first[span] + a[span] + 1
+        side, arm = xy[b] - xy[a], xy[at] - xy[a[span]]
+        length = (side**2).sum(axis=1)
+        dot = (arm * side[span]).sum(axis=1)
+        along = np.clip(np.divide(dot, length[span], out=np.zeros(len(dot)), where=length[span] > 0), 0, 1)
+        away = ((arm - along[:, None] * side[span]) ** 2).sum(axis=1)
+        most = np.maximum.reduceat(away, first)
+        hits = np.flatnonzero(away == most[span])
+        m = at[hits[np.searchsorted(hits, first)]]  # the first of the farthest
+        split = most > 0
+        a, b, m, w = a[split], b[split], m[split], np.minimum(above, most)[split]
+        weight[m] = w
+        a, b, above = np.concatenate([a, m]), np.concatenate([m, b]), np.concatenate([w, w])
+
+
+def _extents(xy: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return (np.maximum.reduceat(xy, starts) - np.minimum.reduceat(xy, starts)).max(axis=1)
+
+
+def levels_of_all(lng: np.ndarray, lat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``levels_of`` many rings, one after another with ``sizes`` vertices, at once: levels of vertices, counts and extents of rings by round."""
+    xy = np.column_stack([lng, lat]).astype(float)
+    levels, counts, extents = np.full(len(xy), ROUNDS, dtype=np.int32), np.zeros((ROUNDS + 1, len(sizes)), np.int64), np.zeros((ROUNDS + 1, len(sizes)))
+    filled = np.flatnonzero(sizes)
+    if not len(filled):
+        return levels, counts.T, extents.T
+    sizes = sizes[filled]
+    ring, weight = np.repeat(np.arange(len(sizes)), sizes), _weights(xy, np.cumsum(sizes) - sizes)
+    now, left = np.arange(len(xy)), sizes
+    counts[0, filled], extents[0, filled] = left, _extents(xy, np.cumsum(left) - left)
+    for r, tolerance in enumerate(_TOLERANCES):
+        if (left > 4).any():
+            of = ring[now]
+            stays = weight[now] > tolerance**2
+            few = (np.bincount(of[stays], minlength=len(sizes)) < 4)[of]
+            place = np.arange(len(now)) - (np.cumsum(left) - left)[of]
+            stays = np.where((left <= 4)[of], True, np.where(few, place < 4, stays))
+            levels[now[~stays]] = r
+            now = now[stays]
+            left = np.bincount(ring[now], minlength=len(sizes))
+        counts[r + 1, filled], extents[r + 1, filled] = left, _extents(xy[now], np.cumsum(left) - left)
+    return levels, counts.T, extents.T
 
 
 def levels_of(lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, list[int], list[float]]:
@@ -52,24 +85,18 @@ def levels_of(lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, list[int],
 
     A ring of at most four vertices stays as it is; one of which a round would leave fewer becomes the first four that it had.
     """
-    xy = np.column_stack([lng, lat]).astype(float)
-    levels, counts, extents = np.full(len(xy), ROUNDS, dtype=np.int32), [len(xy)], [_extent(xy)]
-    now, weight = np.arange(len(xy)), _weights(xy) if len(xy) > 4 else None
-    for r, tolerance in enumerate(_TOLERANCES):
-        if len(now) > 4:
-            left = now[weight[now] > tolerance**2]
-            left = left if len(left) >= 4 else now[:4]
-            levels[np.setdiff1d(now, left, assume_unique=True)] = r
-            now = left
-        counts.append(len(now))
-        extents.append(_extent(xy[now]))
-    return levels, counts, extents
-
-
-@F.pandas_udf(_PASS)
-def _passed(rings: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for lng, lat in rings:
-        yield pd.DataFrame([levels_of(x, y) for x, y in zip(lng, lat, strict=True)], columns=["levels", "counts", "extents"])
+    levels, counts, extents = levels_of_all(lng, lat, np.array([len(lng)]))
+    return levels, counts[0].tolist(), extents[0].tolist()
+
+
+@F.arrow_udf(_PASS)
+def _passed(rings: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for batch in rings:
+        sizes = batch[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        levels, counts, extents = levels_of_all(*(x.flatten().to_numpy(zero_copy_only=False) for x in batch), sizes)
+        lists = lambda values, lengths, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values.ravel(), kind))
+        each = np.full(len(sizes), ROUNDS + 1)
+        yield pa.StructArray.from_arrays([lists(levels, sizes, pa.int32()), lists(counts, each, pa.int64()), lists(extents, each, pa.float64())], ["levels", "counts", "extents"])
 
 
 def _first(rule) -> F.Column:
