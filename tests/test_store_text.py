@@ -122,3 +122,14 @@ def test_bodies_and_json_rows(spark):
     body = '[{"name": "N", "web_url": "javascript:x", "publishedAt": "2024-01-02T03:04:05Z", "uuid": "u", "excerpt": "e"}, {"title": 5, "headline": "H", "external_url": "https://a.org/x", "date": "Tue, 02 Jan 2024 03:04:05 GMT"}, {"title": "D", "created_at": "never"}]'
     got = sorted(map(tuple, feeds.json_items(spark.createDataFrame([("j", body)], "source_id string, body string")).collect()))
     assert got == [("j", 0, "u", "N", None, "e", "2024-01-02T03:04:05.000Z"), ("j", 1, None, "H", "https://a.org/x", None, "2024-01-02T03:04:05.000Z"), ("j", 2, None, "D", None, None, None)]
+
+
+def test_texts_are_normalised_in_pieces():
+    import pyarrow as pa
+
+    from tidewire.functions.text import AT_ONCE, compatible
+
+    texts = ["ﬁ" * 300_000, None, "ｅ" * 300_000, "", "x" * 10] * 3
+    out = list(compatible.func(iter([pa.array(texts), pa.array([], pa.string())])))
+    assert pa.concat_arrays(out).to_pylist() == [x and x.replace("ﬁ", "fi").replace("ｅ", "e") for x in texts]
+    assert len(out) > 3 and max(x.nbytes for x in out) < 2 * AT_ONCE

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Bytes of text that Python looks at together.
+AT_ONCE = 1 << 20
 #: Query parameters that only track, without case; others that do start with the prefix and have more.
 TRACKING = ("fbclid", "gclid", "yclid", "mc_cid", "mc_eid", "ref", "cmpid", "ncid", "ico")
 TRACKING_PREFIX = "utm_"
@@ -51,10 +56,23 @@ def filter_words(text: Column) -> Column:
     return F.when(words.rlike("|".join(name for name, _, _ in ENDINGS)), bare).otherwise(words)
 
 
-@F.pandas_udf(StringType())
-def compatible(text: pd.Series) -> pd.Series:
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch of texts, of about AT_ONCE bytes or one text, so that Python's strings of a whole batch never stand in memory together."""
+    if not len(texts):
+        yield texts
+        return
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield texts.slice(a, b - a)
+
+
+@F.arrow_udf(StringType())
+def compatible(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode's compatibility decomposition, which Spark has no function for."""
-    return text.str.normalize("NFKD")
+    for batch in text:
+        for part in pieces(batch):
+            yield pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKD", x) for x in part.to_pylist()], pa.string())
 
 
 def title_key(text: Column) -> Column:
