@@ -80,3 +80,16 @@ def test_phrases_of_any_length_and_number(spark):
     want = {(1, "g", "One two three four"): 1, (1, "g", "two three four"): 1, (2, "g", "two three four"): 1, (1, "h", "Gazze"): 1}
     got = {(r.id, r.group, r.phrase): r.hits for r in phrases.phrase_hits(texts, lexicon).collect()}
     assert {k: v for k, v in got.items() if k[2] != "israil"} == want
+
+
+def test_places_come_in_pieces(spark, monkeypatch):
+    """A batch of large texts gives its places and hits piece by piece, each beside its own id."""
+    batches = []
+    texts = spark.createDataFrame([(i, "port " * 60_000 + "ship " * i) for i in range(12)], "id long, text string").coalesce(1)
+    run = type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, f, schema: batches.append(f) or run(self, f, schema))
+    found = term_places(texts, spark.createDataFrame([("g", "ship")], "group string, term string"))
+    assert {r["id"]: r["count"] for r in found.groupBy("id").count().collect()} == {i: i for i in range(1, 12)}
+    assert len(list(batches[0](iter(texts.toArrow().to_batches())))) > 2
+    hits = texts.select("id", F.size(F.filter(term_hits(F.col("text"), [("a", "ship", "x"), ("b", "port", None)]), lambda h: h["value"] == "x")).alias("n"))
+    assert {r.id: r.n for r in hits.collect()} == {i: i for i in range(12)}

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from tidewire.functions.text import pieces
+
 #: Terms that one automaton has at most; it is sent to all executors.
 MOST_TERMS = 100_000
 #: Endings that a term may have besides none, where plurals count.
@@ -143,22 +145,32 @@ def term_hits(text: Column, lexicon: list[tuple[str, str, str | None]], beside:
     def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         numbers = [i for i, (_, t, _) in enumerate(lexicon) if t]
         finder = automaton([lexicon[i][1] for i in numbers])
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("group", "term", "value")] + [(n, pa.int32()) for n in ("rank", "first", "end")] + [("before", pa.string()), ("after", pa.string()), ("facts", kinds)]))
-        for texts in column:
-            out = []
-            for text in texts.to_pylist():
-                places = [(a, b, numbers[n]) for a, b, n in term_spans(text, finder)] if text else []
-                rows = [(*lexicon[n], n, a, b) for a, b, n in places]
-                for left, right in beside:
-                    rows += _neighbours(places, lexicon, left, right)
-                out.append([dict(zip(("group", "term", "value", "rank", "first", "end"), r), before=text[max(0, r[4] - window) : r[4]], after=text[r[5] : r[5] + window], facts=known[r[3]]) for r in rows])
-            yield pa.array(out, kind)
+        of_term = [pa.array([x[k] for x in lexicon], pa.string()) for k in (1, 2)]
+        of_facts = pa.array(known, kinds)
+        for batch in column:
+            for texts in pieces(batch):
+                ends, rows, around = [0], [], ([], [])
+                for text in texts.to_pylist():
+                    places = [(a, b, numbers[n]) for a, b, n in term_spans(text, finder)] if text else []
+                    hits = [(lexicon[n][0], n, a, b) for a, b, n in places]
+                    for left, right in beside:
+                        hits += _neighbours(places, lexicon, left, right)
+                    for _, _, a, b in hits:
+                        around[0].append(text[max(0, a - window) : a])
+                        around[1].append(text[b : b + window])
+                    rows += hits
+                    ends.append(len(rows))
+                group, rank, first, end = zip(*rows) if rows else ((),) * 4
+                rank = pa.array(rank, pa.int32())
+                fields = {"group": pa.array(group, pa.string()), "term": of_term[0].take(rank), "value": of_term[1].take(rank), "rank": rank, "first": pa.array(first, pa.int32()), "end": pa.array(end, pa.int32())}
+                fields |= {"before": pa.array(around[0], pa.string()), "after": pa.array(around[1], pa.string()), "facts": of_facts.take(rank)}
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
     return run(text)
 
 
-def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]], left: str, right: str) -> list[tuple]:
-    """The first place of a term of one group with one of the other group after it, as two hits."""
+def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]], left: str, right: str) -> list[tuple[str, int, int, int]]:
+    """The first place of a term of one group with one of the other group after it, as two hits (group, rank, first, end)."""
     after: dict[int, Place] = {}
     for p in places:
         if lexicon[p[2]][0] == right and p[1] > after.get(p[0], (0, 0, 0))[1]:
@@ -167,7 +179,7 @@ def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]],
     if not pairs:
         return []
     first, size, n, other = min(pairs)
-    return [(f"{left}+{right}", *lexicon[n][1:], n, first, first - size), (f"{left}+{right}>", *lexicon[other[2]][1:], other[2], *other[:2])]
+    return [(f"{left}+{right}", n, first, first - size), (f"{left}+{right}>", other[2], *other[:2])]
 
 
 def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: bool, window: int, overlap: bool = False) -> DataFrame:
@@ -180,15 +192,17 @@ def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: boo
         lexicon = shared.value
         finder = automaton([t for t, _ in lexicon], plural)
         for batch in batches:
-            rows: list[tuple] = []
-            keys = batch.column("id")
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                places = term_spans(text, finder, overlap and claim == NONE) if text else ()
-                if places:
-                    rows += [(i, g, lexicon[t][0], a, b, text[max(0, a - window) : a], text[b : b + window]) for a, b, t, g in _settled(places, lexicon, claim, every)]
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], ["id", "group", "term", "first", "end", "before", "after"])
+            keys, at = batch.column("id"), 0
+            for part in pieces(batch.column("text")):
+                rows: list[tuple] = []
+                for i, text in enumerate(part.to_pylist(), at):
+                    places = term_spans(text, finder, overlap and claim == NONE) if text else ()
+                    if places:
+                        rows += [(i, g, lexicon[t][0], a, b, text[max(0, a - window) : a], text[b : b + window]) for a, b, t, g in _settled(places, lexicon, claim, every)]
+                at += len(part)
+                columns = list(zip(*rows)) or [()] * 7
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], ["id", "group", "term", "first", "end", "before", "after"])
 
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, group string, term string, first int, end int, before string, after string")
 
