@@ -112,3 +112,17 @@ def test_stream_and_column_agree_on_the_next_poll(spark):
     for i, interval, streak, failures, observed, ttl, age, low, high, budget, ok, new, parsed, limited, after, chance in rows:
         a, b, c = cadence.next_interval(interval, streak, failures, ok, new, parsed, low, high, observed or 0, max(ttl or 0, age or 0), budget or 0)
         assert got[i] == (a, cadence.delay(a, c, low, (after or 0) if limited else 0, chance), b, c), i
+
+
+def test_views_of_one_large_layer_do_not_gather_it(spark, monkeypatch):
+    entries = spark.range(500).select(F.col("id").alias("entry_id"), F.when(F.col("id") >= 0, "en").alias("layer"), F.lit("s").alias("source"), F.array(F.lit("c")).alias("countries"), F.concat(F.lit("title "), F.col("id") % 7).alias("title"), F.lit("").alias("summary"), F.lit(None).cast("string").alias("tone"), F.lit(datetime(2024, 1, 1)).alias("published_at"))
+    views = spark.createDataFrame([(1, ["en", "de"], None, None, "title 3", None), (2, ["en"], "s", None, "", 48), (3, ["de"], None, None, "", None)], "view_id long, layers array<string>, source string, country string, query string, hours int")
+    found = desk.matches_view(entries, views, datetime(2024, 1, 2))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan
+    want = sorted([(1, i) for i in range(500) if i % 7 == 3] + [(2, i) for i in range(500)])
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(desk, "BROADCAST_VIEWS", 1)
+    dealt = desk.matches_view(entries, views, datetime(2024, 1, 2))
+    assert sorted(map(tuple, dealt.collect())) == want
+    assert "_part" in dealt._jdf.queryExecution().executedPlan().toString()

@@ -14,6 +14,9 @@ from tidewire.functions.text import fold
 #: that wins ties to the last.
 FRESH_HOURS, LEVELS, ROLES = 48, ("low", "medium", "high", "critical"), ("target", "origin", "neutral")
 
+#: Most rows (view, layer) that are sent to all entries; least parts of a layer's entries if there are more. The result is the same.
+BROADCAST_VIEWS, VIEW_PARTS = 10_000, 64
+
 
 def fresh_enough(items: DataFrame, hours: int = FRESH_HOURS) -> DataFrame:
     """Items collected less than so many hours after publication; missing times pass. items: collected_at, published_at."""
@@ -36,7 +39,8 @@ def matches_view(entries: DataFrame, views: DataFrame, as_of: datetime) -> DataF
     """Rows (view_id, entry_id) of entries that a saved view shows.
 
     entries: entry_id, layer, source, countries (array), title, summary, tone, published_at; views: view_id, layers (array), source, country, query, hours; null
-    or empty conditions match all, but for layers. Layers are the join key, so each view meets its layers' entries only.
+    or empty conditions match all, but for layers. Layers are the join key, so each view meets its layers' entries only. A layer has a large
+    part of all entries: up to BROADCAST_VIEWS rows of views go to the entries, beyond that a layer's entries are dealt out and each part gets the views.
     """
     wide = views.select("view_id", F.explode("layers").alias("layer"), *(F.col(c).alias(f"v_{c}") for c in ("source", "country", "query", "hours"))).distinct()
     ok = (F.coalesce("v_source", F.lit("")) == "") | (F.col("source") == F.col("v_source"))
@@ -44,7 +48,13 @@ def matches_view(entries: DataFrame, views: DataFrame, as_of: datetime) -> DataF
     ok &= contains_query(F.col("v_query"), "title", "summary", "source", "tone")
     age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("published_at").cast("timestamp"))
     ok &= F.col("v_hours").isNull() | F.coalesce(age <= F.col("v_hours") * 3_600_000_000, F.lit(False))
-    return entries.join(wide, "layer").where(F.coalesce(ok, F.lit(False))).select("view_id", "entry_id")
+    if wide.limit(BROADCAST_VIEWS + 1).count() <= BROADCAST_VIEWS:
+        met = entries.join(F.broadcast(wide), "layer")
+    else:
+        parts = max(VIEW_PARTS, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        dealt = wide.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        met = entries.withColumn("_part", F.pmod(F.xxhash64("entry_id"), F.lit(parts).cast("long"))).join(dealt, ["layer", "_part"])
+    return met.where(F.coalesce(ok, F.lit(False))).select("view_id", "entry_id")
 
 
 def report_order(entries: DataFrame, country: str | None = None, newest: bool = True) -> list[Column]:
