@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.lexical import marked
-from tidewire.operators.terms import ALL, NONE, term_places
+from tidewire.operators.terms import ALL, NONE, places_by_lexicon, term_places
 
 #: Characters around a name that are looked at.
 WINDOW = 64
@@ -27,6 +27,23 @@ VICTIMS = "government|governments|govt|agency|agencies|ministry|ministries|firm|
 PASSIVE_AFTER = r"^(?:'s [a-z]+)?[ ](?:was|were|is|are|got|has been|have been|had been)\s+(?:also\s+|recently\s+|reportedly\s+|allegedly\s+)*(?:targeted|hit|breached|attacked|hacked|compromised|infiltrated|struck|disrupted|affected|impacted|victimi[sz]ed|exposed|leaked)\b|^[ ](?:fell victim|came under attack|suffered (?:a|an|from) (?:breach|cyber ?attack|ransomware|hack|intrusion|data breach))"
 #: Words without which a victim's noun after a name says nothing.
 ATTACK = r"(?:^|[^a-z])(?:breach|breached|hack|hacked|hacking|attack|attacked|cyberattack|ransomware|malware|compromis|infiltrat|target|targeted|exploit|exploited|stole|stolen|steal|leak|leaked|exposed|exposing|espionage|spy|spying|backdoor|intrusion|victim|phishing|trojan|wiper|breach|data breach)"
+#: The rules of what comes before a name, from the name on backwards: such a rule is tried at one place, not at each of the window.
+_THE, _ADVERBS = r"(?:\s+eht)?", r"(?:\s+(?:eht|detcepsus|degella|yldegella))*"
+_DONE = "targeted attacked hit breached compromised hacked struck infiltrated disrupted backed sponsored operated run orchestrated launched"
+_FROM = "attributed to,blamed on,blamed,linked to,tied to,operated by,carried out by,conducted by,orchestrated by,run by,backed by,sponsored by,hacker from,hackers from,actor from,actors from,attacker from,attackers from,hacker based in,hackers based in,actor based in,actors based in,based in,operating from,operating out of,originating from,originating in,stemming from,emanating from,out of"
+_DOES = "target,targets,targeting,targeted,hit,hits,hitting,attack,attacks,attacking,attacked,breach,breaches,breaching,breached,compromise,compromises,compromising,compromised,infiltrate,infiltrates,infiltrating,infiltrated,strike,strikes,struck,striking,hack,hacks,hacking,hacked,disrupt,disrupts,disrupting,disrupted,infect,infects,infecting,infected,spying on,spied on,aimed at,directed at,deployed against,launched against"
+_SOME = "the,a,an,several,multiple,various,numerous,dozens of,some"
+_TOWARDS = "against,across,throughout,affecting,impacting,victims in,aimed at,directed at,focused on,campaign against,operation against,operations against,espionage against,attack on,attacks on,assault on,raid on,raids on"
+
+
+def _back(words: str, between: str = ",") -> str:
+    return "|".join(w[::-1] for w in words.split(between))
+
+
+BACK_TO_BY = rf"^{_ADVERBS}\s+yb\s+(?:{_back(_DONE, ' ')})"
+BACK_TO_SOURCE = rf"^{_THE}\s+(?:{_back(_FROM)})"
+BACK_TO_VERB = rf"^(?:\s+(?:{_back(_SOME)})){{0,2}}\s+(?:{_back(_DOES)})(?:[^a-z]|$)"
+BACK_TO_PREPOSITION = rf"^(?:\s+\w+){{0,2}}\s+(?:{_back(_TOWARDS)})(?:[^a-z]|$)"
 ROLE_RANK, TRUST_RANK = {TARGET: 3, ORIGIN: 2, NEUTRAL: 1}, {HIGH: 3, MEDIUM: 2, LOW: 1}
 #: The kind of group whose country is an attacker's.
 STATE = "nation_state"
@@ -35,9 +52,10 @@ STATE = "nation_state"
 def mention_role(before: Column, after: Column, demonym: Column, attack: Column) -> Column:
     """Role and confidence (struct) of one mention: attackers first, then victims; the first rule that holds."""
     named, called = rf"^(?:'s)?[ ](?:{VICTIMS})\b", rf"^[ ](?:[a-z][a-z-]+ ){{0,2}}(?:{VICTIMS})\b"
+    back = F.reverse(before)
     rules = (
-        (demonym & after.rlike(ACTORS_AFTER), ORIGIN, HIGH), (after.rlike(TAIL_AFTER), ORIGIN, HIGH), (after.rlike(SERVICE_AFTER), ORIGIN, HIGH), (before.rlike(BY_BEFORE), ORIGIN, HIGH), (before.rlike(SOURCE_BEFORE), ORIGIN, HIGH),
-        (before.rlike(VERB_BEFORE), TARGET, HIGH), (after.rlike(PASSIVE_AFTER), TARGET, HIGH), (before.rlike(PREPOSITION_BEFORE), TARGET, MEDIUM), (attack & F.when(demonym, after.rlike(called)).otherwise(after.rlike(named)), TARGET, MEDIUM),
+        (demonym & after.rlike(ACTORS_AFTER), ORIGIN, HIGH), (after.rlike(TAIL_AFTER), ORIGIN, HIGH), (after.rlike(SERVICE_AFTER), ORIGIN, HIGH), (back.rlike(BACK_TO_BY), ORIGIN, HIGH), (back.rlike(BACK_TO_SOURCE), ORIGIN, HIGH),
+        (back.rlike(BACK_TO_VERB), TARGET, HIGH), (after.rlike(PASSIVE_AFTER), TARGET, HIGH), (back.rlike(BACK_TO_PREPOSITION), TARGET, MEDIUM), (attack & F.when(demonym, after.rlike(called)).otherwise(after.rlike(named)), TARGET, MEDIUM),
     )
     pair = lambda role, trust: F.struct(F.lit(role).alias("role"), F.lit(trust).alias("confidence"))
     out = F.when(rules[0][0], pair(*rules[0][1:]))
@@ -63,24 +81,29 @@ def geo_roles(items: DataFrame, countries: DataFrame, actors: DataFrame, regions
     spelled = items.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), SHORT_NAMES, ALIAS))
     if "summary" in items.columns:
         spelled = spelled.withColumn("summary", F.regexp_replace(F.coalesce("summary", F.lit("")), SHORT_NAMES, ALIAS))
-    texts = marked(spelled)
-    keyed = texts.select(F.struct("id", F.col("text").rlike(ATTACK).alias("attack")).alias("id"), "text")
-    names = countries.select(F.concat(F.lit("c"), F.col("country")).alias("group"), "term", F.lit(0).alias("turn")).unionByName(regions.select(F.concat(F.lit("r"), F.col("region")).alias("group"), "term", F.lit(1).alias("turn")))
-    found = term_places(keyed, names, ALL, window=WINDOW).select("id.*", F.substring("group", 1, 1).alias("kind"), F.expr("substring(group, 2)").alias("name"), "term", "first", "before", "after")
-
+    texts = marked(spelled).select(F.struct("id", F.col("text").rlike(ATTACK).alias("attack")).alias("id"), "text")
     of = countries.groupBy("country", "term").agg(F.bool_or("demonym").alias("demonym"))
-    mentions = found.where("kind = 'c'").join(of.withColumnRenamed("country", "name"), ["name", "term"])
-    said = mentions.select("id", F.col("name").alias("country"), mention_role(F.col("before"), F.col("after"), F.col("demonym"), F.col("attack")).alias("m"))
-    by_state = actors.where((F.col("kind") == STATE) & F.col("country").isNotNull())
-    acting = term_places(texts, by_state.select(F.col("country").alias("group"), "term"), NONE, every=False).join(countries.select(F.col("country").alias("group")).distinct(), "group")
-    acting = acting.select("id", F.col("group").alias("country"), F.struct(F.lit(ORIGIN).alias("role"), F.lit(HIGH).alias("confidence")).alias("m"))
-    rows = said.unionByName(acting).groupBy("id", "country").agg(F.sort_array(F.collect_set("m.role")).alias("roles"), F.max_by("m.role", _rank(ROLE_RANK, F.col("m.role"))).alias("role"), F.max_by("m.confidence", _rank(TRUST_RANK, F.col("m.confidence"))).alias("confidence"))
-    rows = rows.join(countries.groupBy("country").agg(F.min("region").alias("region")), "country")
-
-    direct = found.where("kind = 'r'").select("id", F.col("name").alias("region"), "term", "first", mention_role(F.col("before"), F.col("after"), F.lit(True), F.col("attack")).alias("m"))
-    direct = direct.groupBy("id", "region", "term").agg(F.max_by("m.role", _rank(ROLE_RANK, F.col("m.role"))).alias("role"), F.max_by("m.confidence", "first").alias("confidence"))
-    direct = direct.select("id", "region", F.lit(None).cast("string").alias("country"), F.array("role").alias("roles"), "role", F.when(F.col("confidence") == LOW, LOW).otherwise(MEDIUM).alias("confidence"))
-    return rows.select("id", "region", "country", "roles", "role", "confidence").unionByName(direct).withColumnRenamed("id", "item_id")
+    named = lambda kind, name, demonym: F.concat(F.lit(kind), F.when(demonym, "d").otherwise("-"), name).alias("group")
+    names = of.select(named("c", F.col("country"), F.col("demonym")), "term", F.lit(0).alias("turn")).unionByName(regions.select(named("r", F.col("region"), F.lit(True)), "term", F.lit(1).alias("turn")))
+    by_state = actors.where(F.col("kind") == STATE).join(countries.select("country").distinct(), "country").select(named("a", F.col("country"), F.lit(False)), "term")
+    found = places_by_lexicon(texts, {"names": (names, {"claim": ALL, "window": WINDOW}), "groups": (by_state, {"claim": NONE, "every": False})}).where("group <> ''")
+
+    # roles are told where the places are found, so what is around a name is never shuffled; numbers stand for them, which Spark adds up without sorting
+    kind, demonym = F.substring("group", 1, 1), F.substring("group", 2, 1) == "d"
+    m = F.when(kind == "a", F.struct(F.lit(ORIGIN).alias("role"), F.lit(HIGH).alias("confidence"))).otherwise(mention_role(F.col("before"), F.col("after"), demonym, F.col("id.attack")))
+    said = found.select("id.id", F.expr("substring(group, 3)").alias("name"), F.when(kind == "r", F.col("term")).alias("term"), "first", m.alias("m"))
+    said = said.select("id", "name", "term", "first", _rank(ROLE_RANK, F.col("m.role")).alias("role"), _rank(TRUST_RANK, F.col("m.confidence")).alias("trust"))
+    rows = said.groupBy("id", "name", "term").agg(
+        F.bit_or(F.expr("shiftleft(1, role)")).alias("seen"), F.max("role").alias("role"), F.max("trust").alias("surest"),
+        F.max(F.col("first").cast("long") * 4 + F.col("trust")).alias("last"),
+    )
+    name_of = lambda ranks, c: F.element_at(F.array(*map(F.lit, sorted(ranks, key=ranks.get))), c)
+    role, direct = name_of(ROLE_RANK, F.col("role")), F.col("term").isNotNull()
+    seen = F.filter(F.array(*(F.when(F.col("seen").bitwiseAND(1 << rank) != 0, name) for name, rank in sorted(ROLE_RANK.items()))), lambda r: r.isNotNull())
+    home = countries.where("country IS NOT NULL").groupBy(F.col("country").alias("_country")).agg(F.min("region").alias("_region"))
+    rows = rows.withColumn("country", F.when(~direct, F.col("name"))).join(F.broadcast(home), F.col("country") == F.col("_country"), "left")
+    confidence = F.when(~direct, name_of(TRUST_RANK, F.col("surest"))).when(F.col("last") % 4 == TRUST_RANK[LOW], LOW).otherwise(MEDIUM)
+    return rows.select(F.col("id").alias("item_id"), F.when(direct, F.col("name")).otherwise(F.col("_region")).alias("region"), "country", F.when(direct, F.array(role)).otherwise(seen).alias("roles"), role.alias("role"), confidence.alias("confidence"))
 
 
 def named_groups(items: DataFrame, actors: DataFrame) -> DataFrame:

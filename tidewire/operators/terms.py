@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -99,6 +100,13 @@ def _settled(places: list[Place], lexicon: list[tuple[str, list[str]]], claim: s
     return [(*p, group) for p in places for group in lexicon[p[2]][1]]
 
 
+def _terms(lexicon: DataFrame) -> DataFrame:
+    """Rows (term, groups, turn) of a lexicon, each term once."""
+    turn = F.col("turn").cast("int") if "turn" in lexicon.columns else F.lit(0)
+    known = lexicon.select(F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), F.col("term").cast("string").alias("term"), turn.alias("turn")).where("term <> ''")
+    return known.groupBy("term").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.coalesce(F.min("turn"), F.lit(0)).alias("turn"))
+
+
 def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every: bool = True, plural: bool = False, window: int = 0, limit: int = MOST_TERMS, overlap: bool = False) -> DataFrame:
     """Rows (id, group, term, first, end, before, after) of the places of terms in texts.
 
@@ -110,9 +118,7 @@ def term_places(texts: DataFrame, lexicon: DataFrame, claim: str = NONE, every:
     ``end`` count characters from 0. Null and empty texts have no places, null and empty terms none either; repeated rows of
     texts count each, repeated rows of the lexicon once.
     """
-    turn = F.col("turn").cast("int") if "turn" in lexicon.columns else F.lit(0)
-    known = lexicon.select(F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), F.col("term").cast("string").alias("term"), turn.alias("turn")).where("term <> ''")
-    terms = known.groupBy("term").agg(F.sort_array(F.collect_set("group")).alias("groups"), F.coalesce(F.min("turn"), F.lit(0)).alias("turn"))
+    terms = _terms(lexicon)
     rows = terms.limit(limit + 1).collect()
     if len(rows) <= limit:
         return _one_pass(texts, rows, claim, every, plural, window, overlap)
@@ -182,29 +188,56 @@ def _neighbours(places: list[Place], lexicon: list[tuple[str, str, str | None]],
     return [(f"{left}+{right}", n, first, first - size), (f"{left}+{right}>", other[2], *other[:2])]
 
 
+def places_by_lexicon(texts: DataFrame, asked: dict[str, tuple[DataFrame, dict]], limit: int = MOST_TERMS) -> DataFrame:
+    """Rows (lexicon, *those of ``term_places``) of several lexicons, from one pass over the texts if each has at most ``limit`` terms.
+
+    asked: by name, each lexicon and the options of ``term_places`` for it.
+    """
+    if not all(len(_terms(lexicon).limit(limit + 1).take(limit + 1)) <= limit for lexicon, _ in asked.values()):
+        return reduce(DataFrame.unionAll, (term_places(texts, lexicon, **options, limit=limit).select(F.lit(name).alias("lexicon"), "*") for name, (lexicon, options) in asked.items()))
+    return _pass(texts, [Asked(name, _terms(lexicon).collect(), **options) for name, (lexicon, options) in asked.items()])
+
+
+class Asked(NamedTuple):
+    """A lexicon of few terms and how its places are looked for, as in ``term_places``."""
+
+    name: str
+    rows: list
+    claim: str = NONE
+    every: bool = True
+    plural: bool = False
+    window: int = 0
+    overlap: bool = False
+
+
 def _one_pass(texts: DataFrame, rows: list, claim: str, every: bool, plural: bool, window: int, overlap: bool = False) -> DataFrame:
     """``term_places`` of few terms."""
-    entries = [(r.term, list(r.groups)) for r in sorted(rows, key=lambda r: (r.turn, -len(r.term), r.term))]
-    shared = texts.sparkSession.sparkContext.broadcast(entries)  # a bounded number of terms
+    return _pass(texts, [Asked("", rows, claim, every, plural, window, overlap)]).drop("lexicon")
+
+
+def _pass(texts: DataFrame, asked: list[Asked]) -> DataFrame:
+    """``places_by_lexicon`` of few terms."""
+    sorted_ = [a._replace(rows=[(r.term, list(r.groups)) for r in sorted(a.rows, key=lambda r: (r.turn, -len(r.term), r.term))]) for a in asked]
+    shared = texts.sparkSession.sparkContext.broadcast([tuple(a) for a in sorted_])  # a bounded number of terms
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        finder = automaton([t for t, _ in lexicon], plural)
+        each = [(a, automaton([t for t, _ in a.rows], a.plural)) for a in (Asked(*x) for x in shared.value)]
         for batch in batches:
             keys, at = batch.column("id"), 0
             for part in pieces(batch.column("text")):
                 rows: list[tuple] = []
                 for i, text in enumerate(part.to_pylist(), at):
-                    places = term_spans(text, finder, overlap and claim == NONE) if text else ()
-                    if places:
-                        rows += [(i, g, lexicon[t][0], a, b, text[max(0, a - window) : a], text[b : b + window]) for a, b, t, g in _settled(places, lexicon, claim, every)]
+                    for a, finder in each if text else ():
+                        places = term_spans(text, finder, a.overlap and a.claim == NONE)
+                        if places:
+                            rows += [(a.name, i, g, a.rows[t][0], first, end, text[max(0, first - a.window) : first], text[end : end + a.window]) for first, end, t, g in _settled(places, a.rows, a.claim, a.every)]
                 at += len(part)
-                columns = list(zip(*rows)) or [()] * 7
+                names, numbers, *columns = list(zip(*rows)) or [()] * 8
                 kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds))], ["id", "group", "term", "first", "end", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), keys.take(pa.array(numbers, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["lexicon", "id", "group", "term", "first", "end", "before", "after"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, group string, term string, first int, end int, before string, after string")
+    return texts.select("id", "text").mapInArrow(run, f"lexicon string, id {kind}, group string, term string, first int, end int, before string, after string")
 
 
 def _claimed_later(texts: DataFrame, dealt: list[list], turns: DataFrame, claim: str, every: bool, plural: bool, window: int) -> DataFrame:
