@@ -90,8 +90,11 @@ px AS (SELECT id, CASE WHEN n1 > n2 THEN f WHEN k = 1 THEN o ELSE 'Global / Mult
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = spark.createDataFrame(list(PLACES), "group string, term string, region string, is_region boolean")
-    return lexical.places(_texts(spark, sf_dir), lexicon)
+    return lexical.places(_texts(spark, sf_dir), _place_lexicon(spark))
+
+
+def _place_lexicon(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(PLACES), "group string, term string, region string, is_region boolean")
 
 
 @query("mentioned_places", f"WITH {DOCS_SQL}, {PLACES_SQL} SELECT id, country, region, CAST(mentions AS BIGINT) AS mentions FROM pl")
@@ -110,4 +113,4 @@ SELECT id, topic, CAST(topic_score AS BIGINT) AS topic_score, CASE WHEN level >=
 CASE WHEN sure >= 4 THEN 'high' WHEN sure >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM l""")
 def policy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = spark.createDataFrame([(x,) for x in RELEVANT], "term string")
-    return lexical.policy(_texts(spark, sf_dir), _lexicon(spark, TOPICS), _lexicon(spark, SIGNALS), _places(spark, sf_dir), ORDER, relevant)
+    return lexical.policy(_texts(spark, sf_dir), _lexicon(spark, TOPICS), _lexicon(spark, SIGNALS), None, ORDER, relevant, _place_lexicon(spark))
