@@ -11,6 +11,7 @@ documents send each shard their distinct n-grams and get one log probability for
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ ORDER = 5
 BLOCK_BYTES = 16 << 20
 PIECE = 1 << 20
 SHARD_BYTES = 16 << 20
+#: Effort of the compression of shuffled text.
+TEXT_LEVEL = 9
 #: Blocks that one group of a shard answers; more blocks make more groups of each shard.
 BLOCKS_AT_ONCE = 256
 #: One trusted document of so many is left out of the counts and sets the thresholds.
@@ -80,6 +83,17 @@ def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return every[a], np.add.reduceat(n, a) if len(a) else n
 
 
+def small(codes: np.ndarray) -> bytes:
+    """Sorted distinct n-grams as compressed gaps, their bytes by place, so that the many small gaps cost little."""
+    gaps = np.diff(codes, prepend=np.uint64(0))
+    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def large(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def shard_of(codes: np.ndarray, n: int) -> np.ndarray:
     return scaled(mix((codes >> np.uint64(8)) & np.uint64(0xFFFF)), n)
 
@@ -102,8 +116,8 @@ def trusted_counts(trusted: DataFrame, n_shards: int, order: int) -> DataFrame:
         def rows() -> pa.RecordBatch:
             found = list(dealt(held[0], n_shards))
             return pa.RecordBatch.from_arrays([
-                pa.array([s for s, _ in found], pa.int32()), pa.array([held[0][at].tobytes() for _, at in found], pa.binary()),
-                pa.array([held[1][at].tobytes() for _, at in found], pa.binary()),
+                pa.array([s for s, _ in found], pa.int32()), pa.array([small(held[0][at]) for _, at in found], pa.binary()),
+                pa.array([zlib.compress(held[1][at].tobytes(), 1) for _, at in found], pa.binary()),
             ], names=["shard", "codes", "counts"])
 
         for batch in batches:
@@ -120,7 +134,7 @@ def trusted_counts(trusted: DataFrame, n_shards: int, order: int) -> DataFrame:
         yield rows()
 
     def merge(table: pa.Table) -> pa.Table:
-        codes, counts = summed([column(table, "codes", "u8")[0]], [column(table, "counts", "i8")[0]])
+        codes, counts = summed([large(x) for x in table.column("codes").to_pylist()], [np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist()])
         return pa.table({"shard": table.column("shard")[:1], "codes": pa.array([codes.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
     parts = trusted.select("text").mapInArrow(run, "shard int, codes binary, counts binary")
@@ -223,7 +237,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     counts = Scratch(spark).keep(trusted_counts(trusted, n_shards, order))
     forget(spark)  # the trusted texts' shuffle
     known = spark.sparkContext.broadcast(statistics(counts, order))
-    blocks = pack(docs, limit=BLOCK_BYTES)
+    blocks = pack(docs, limit=BLOCK_BYTES, level=TEXT_LEVEL)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +249,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
                 found = list(dealt(codes, n_shards))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([s for s, _ in found], pa.int32()), pa.array(np.full(len(found), mix(np.array([number], np.uint64))[0] % np.uint64(parts)), pa.int32()),
-                    pa.array(np.full(len(found), number), pa.int64()), pa.array([codes[at].tobytes() for _, at in found], pa.binary()),
+                    pa.array(np.full(len(found), number), pa.int64()), pa.array([small(codes[at]) for _, at in found], pa.binary()),
                 ], names=["shard", "part", "block", "codes"])
 
     def answer(asks: pa.Table, model: pa.Table) -> pa.Table:
-        mine, sizes = column(asks, "codes", "u8")
-        asked, of = np.unique(mine, return_inverse=True)
+        each = [large(x) for x in asks.column("codes").to_pylist()]
+        sizes = [len(x) for x in each]
+        asked, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
         values = log_probabilities(column(model, "codes", "u8")[0], column(model, "counts", "i8")[0], asked, *known.value, order)[of].astype(np.float32)
         ends = np.cumsum(sizes)
         return pa.table({"block": asks.column("block"), "codes": asks.column("codes"), "values": pa.array([values[e - s : e].tobytes() for s, e in zip(sizes, ends)], pa.binary())})
@@ -249,7 +264,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
         tables = [read(x) for x in block.column("payload").to_pylist()]
         table = pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
         data, first, size = padded(table.column("text").combine_chunks(), order)
-        codes, values = column(got, "codes", "u8")[0], column(got, "values", "f4")[0]
+        codes, values = np.concatenate([np.zeros(0, np.uint64), *(large(x) for x in got.column("codes").to_pylist())]), column(got, "values", "f4")[0]
         by = np.argsort(codes)
         codes, values = codes[by], values[by].astype(np.float64)
         sums = np.zeros(len(size))
