@@ -8,13 +8,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewire.llm import sketch
 from tidewire.llm.blocks import scaled
+from tidewire.llm.tables import cut
 from tidewire.llm.textkit import mix
 
 #: Ids of which a filter is made for a broadcast: 16 bits each are 16 MB. More are for a join.
 MAX_IDS = 1 << 23
+#: Ids that pass a filter wrongly and are broadcast to be left out; some 14 in a thousand of a table's other ids pass.
+MAX_WRONG = 1 << 20
 
 
 def membership(values: DataFrame, name: str, count: int) -> tuple[int, bytes]:
@@ -49,8 +53,17 @@ def may_have(rows: DataFrame, name: str, known: tuple[int, bytes], nulls: bool =
     return rows.mapInArrow(run, rows.schema)
 
 
-def having(rows: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose long ``name`` is among the ``name`` of wanted: few wanted ids go through a filter first, so that few rows are shuffled."""
-    count = wanted.count()
-    few = may_have(rows, name, membership(wanted, name, count)) if count <= MAX_IDS else rows
-    return few.join(wanted.select(name), name, "left_semi")
+def having(rows: DataFrame, name: str, wanted: DataFrame, most: int = 2 * MAX_IDS) -> DataFrame:
+    """Rows whose long ``name`` is among the ``name`` of wanted, exactly.
+
+    Up to ``most`` wanted ids go to the rows as a filter, with the list of ids that pass it wrongly, so that of a row only
+    its id is shuffled. With more of either, rows are joined by shuffle.
+    """
+    wanted, count = wanted.select(name), wanted.count()
+    if count <= most:
+        known = membership(wanted, name, count)
+        wrong = cut(may_have(rows.select(name), name, known).distinct().join(wanted, name, "left_anti"))
+        rows = may_have(rows, name, known)
+        if wrong.count() <= MAX_WRONG:
+            return rows.join(F.broadcast(wrong), name, "left_anti")
+    return rows.join(wanted, name, "left_semi")
