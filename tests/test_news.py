@@ -93,6 +93,29 @@ def test_nearest_unit_at_edges(spark):
     assert {r.point_id: r.unit_id for r in signals.nearest_unit(points, units).collect()} == {1: 7, 2: 9}
 
 
+def test_nearest_unit_keeps_places_not_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    people = [(rng.randrange(250), rng.choice("ab"), float(rng.randrange(-9, 10)), float(rng.randrange(-20, 20))) for _ in range(300)]
+    boxes = [(k, rng.choice("ab"), *sorted((float(rng.randrange(-12, 12)), float(rng.randrange(-12, 12)))), *sorted((float(rng.randrange(-25, 25)), float(rng.randrange(-25, 25))))) for k in range(400)]
+    spark.createDataFrame(people, "point_id long, name string, lat double, lng double").write.parquet(f"{tmp_path}/points")
+    spark.createDataFrame(boxes, "unit_id long, name string, min_lat double, max_lat double, min_lng double, max_lng double").write.parquet(f"{tmp_path}/units")
+    points, units = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/units")
+    want, ties = {}, 0
+    for p, name, lat, lng in people:  # whole degrees, so that many centres are as far, and repeated points
+        near = sorted(((lat - (a + b) / 2) ** 2 + (lng - (c + d) / 2) ** 2, u) for u, n, a, b, c, d in boxes if n == name and a <= lat <= b and c <= lng <= d)
+        ties += len(near) > 1 and near[0][0] == near[1][0]
+        if near:
+            want[p] = min(near[0], want.get(p, near[0]))
+    assert ties > 5
+    for most in (200_000, 10):
+        monkeypatch.setattr(signals, "MAX_BROADCAST_PLACES", most, raising=False)
+        got = signals.nearest_unit(points, units)
+        assert {r.point_id: r.unit_id for r in got.collect()} == {p: u for p, (_, u) in want.items()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # no sort of all pairs by place, no broadcast of boxes in all of their cells
+        assert "SortAggregate(key=[name" not in plan and not any("BroadcastHashJoin" in x and "lat_cell" in x for x in plan.splitlines())
+
+
 def test_feed_summaries_whole_and_titled_items_counted(spark):
     block = "<item><title>{}</title><description>{}</description></item>"
     late = "<rss>" + "".join(block.format(f"t{i}" if i >= 60 else "", "s") for i in range(210)) + "</rss>"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WINDOWS = (6, 12, 24, 48)
 #: Side of the grid cells by which points meet boxes.
 CELL_DEGREES = 10
+#: Most places whose nearest units are broadcast to the points; with more, points are joined by shuffle.
+MAX_BROADCAST_PLACES = 200_000
 
 
 def density(events: DataFrame, as_of: datetime, hours: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -119,16 +121,25 @@ def nearest_unit(points: DataFrame, units: DataFrame) -> DataFrame:
 
     points: point_id, name, lat, lng; units: unit_id, name, min_lat, max_lat, min_lng, max_lng, in degrees. An equi join on
     names and grid cells, each box in every cell that it covers, with the box test on top. Points of one place are asked
-    for once, and of units with the same name and box only the least unit_id can be nearest. Points without a unit are
-    left out.
+    for once, and of units with the same name and box only the least unit_id can be nearest. Pairs of a place and a box are
+    looked at twice, for the least distance and for the least unit_id at it: both are sums that a task keeps by place,
+    whereas the least pair of both would have it sort all of its pairs. Points without a unit are left out.
     """
     cell = lambda c: F.floor(F.col(c) / CELL_DEGREES)
-    box = ["min_lat", "max_lat", "min_lng", "max_lng"]
+    place, box = ["name", "lat", "lng"], ["min_lat", "max_lat", "min_lng", "max_lng"]
     boxes = units.where("min_lat <= max_lat AND min_lng <= max_lng").groupBy("name", *box).agg(F.min("unit_id").alias("unit_id"))
     for axis in ("lat", "lng"):
         boxes = boxes.withColumn(f"{axis}_cell", F.explode(F.sequence(cell(f"min_{axis}"), cell(f"max_{axis}"))))
-    places = points.select("name", "lat", "lng").distinct().withColumn("lat_cell", cell("lat")).withColumn("lng_cell", cell("lng"))
-    inside = places.join(boxes, ["name", "lat_cell", "lng_cell"]).where("lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng")
+    boxes = boxes.hint("merge")  # Spark takes them for as few as the units and would broadcast them
     far = F.pow(F.col("lat") - (F.col("min_lat") + F.col("max_lat")) / 2, 2) + F.pow(F.col("lng") - (F.col("min_lng") + F.col("max_lng")) / 2, 2)
-    nearest = inside.groupBy("name", "lat", "lng").agg(F.min(F.struct(far.alias("far"), "unit_id")).alias("best"))
-    return points.join(nearest, ["name", "lat", "lng"]).groupBy("point_id").agg(F.min("best").getField("unit_id").alias("unit_id"))
+
+    def inside(places: DataFrame) -> DataFrame:
+        dealt = places.withColumn("lat_cell", cell("lat")).withColumn("lng_cell", cell("lng"))
+        return dealt.join(boxes, ["name", "lat_cell", "lng_cell"]).where("lat BETWEEN min_lat AND max_lat AND lng BETWEEN min_lng AND max_lng")
+
+    places = points.select(*place).distinct()
+    least = inside(places).groupBy(*place).agg(F.min(far).alias("far"))
+    nearest = inside(least).where(far == F.col("far")).groupBy(*place, "far").agg(F.min("unit_id").alias("unit_id"))
+    few = places.count() <= MAX_BROADCAST_PLACES
+    found = points.join(F.broadcast(nearest), place) if few else points.hint("merge").join(nearest, place)
+    return found.repartition("point_id").groupBy("point_id").agg(F.min(F.struct("far", "unit_id")).getField("unit_id").alias("unit_id"))
