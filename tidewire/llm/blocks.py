@@ -113,6 +113,39 @@ def expand(data: bytes) -> np.ndarray:
     return np.cumsum(short)[short != 65535]
 
 
+def shrink_marked(positions: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Runs of sorted distinct positions below 2**31, each with a mark: the mark is the last bit of the gap, gaps have as many bytes as a run needs, equal bytes stand together for the shuffle's compression."""
+    gaps = np.diff(positions, prepend=0)
+    gaps[starts] = positions[starts]
+    value = gaps << 1 | marks
+    planes = np.ascontiguousarray(value.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    wide = [max(1, x.bit_length() + 7 >> 3) for x in np.maximum.reduceat(value, starts).tolist()]
+    return [planes[:n, a:b].tobytes() for n, a, b in zip(wide, starts.tolist(), ends.tolist())]
+
+
+def expand_marked(data: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and marks of all runs, joined."""
+    ends = np.cumsum(sizes)
+    planes = np.zeros((4, int(sizes.sum())), np.uint8)
+    for x, n, end in zip(data, sizes.tolist(), ends.tolist()):
+        planes[: len(x) // n, end - n : end] = np.frombuffer(x, np.uint8).reshape(-1, n)
+    value = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    at = np.cumsum(value >> 1, dtype=np.int64)
+    return at - np.repeat(np.r_[0, at[ends[:-1] - 1]], sizes), (value & 1).astype(bool)
+
+
+def in_order(hashes: np.ndarray) -> np.ndarray:
+    """Stable order of 64-bit hashes. These are sorted with their places in the low bits, which is faster than to sort places; where the high bits don't tell all apart, places are sorted."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low, high = hashes.min(), hashes.max()
+    free = np.uint64(64 - int(high - low).bit_length() if high > low else 0)
+    mask = np.uint64((1 << len(hashes).bit_length()) - 1)
+    order = (np.sort((hashes - low << free) & ~mask | np.arange(len(hashes), dtype=np.uint64)) & mask).astype(np.int64)
+    got = hashes[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(hashes, kind="stable")
+
+
 def column(table: pa.Table, name: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """Packed arrays of a binary column, joined, and the length of each."""
     parts = [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]

@@ -1,7 +1,7 @@
 """Count-min sketches: bounded ones, collected as a bitmap of counters, and ones dealt over shards by range of hash.
 
-In a dealt sketch every range of hashes has a sketch of its own, of fixed size, so its load is the same for any input. A
-part sends a range its windows' places there (FINGER_BITS each, as gaps), which give the counters of both lines.
+In a dealt sketch every range of hashes has a line of its own, of fixed size, so its load is the same for any input. A
+part sends a range its windows' places there (FINGER_BITS each, as gaps), which give the counters.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from tidewire.llm.textkit import mix
 
 SLICE = 1 << 20
 DEPTH = 2
-#: Bits of a place in a range, and log2 of the counters on each of a range's two lines.
-FINGER_BITS, COUNTER_BITS = 26, 22
+#: Bits of a place in a range, and log2 of the counters of a range.
+FINGER_BITS, COUNTER_BITS = 26, 26
 SCHEMA = "line int, slice int, once binary, twice binary"
 _KINDS = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
@@ -74,11 +74,10 @@ def places(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimated_repeated(fingers: np.ndarray, shared: np.ndarray, bits: int = COUNTER_BITS) -> np.ndarray:
-    """Which places in one range have a count of 2 or more by both lines; ``shared`` ones count twice. All that do have, and few others."""
-    keep = np.ones(len(fingers), bool)
-    for at in (fingers >> (FINGER_BITS - bits), (mix(fingers.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)):
-        count = np.zeros(1 << bits, np.uint32)
-        np.add.at(count, at, np.uint32(1))
-        np.add.at(count, at[shared], np.uint32(1))
-        keep &= count[at] >= 2
-    return keep
+    """Which places in one range have a count of 2 or more; ``shared`` ones count twice. All that do have, and others only below FINGER_BITS."""
+    at = (fingers >> (FINGER_BITS - bits)).astype(np.uint32)
+    near = np.sort(at)
+    twice = np.zeros(1 << bits, bool)
+    twice[near[1:][near[1:] == near[:-1]]] = True
+    twice[at[shared]] = True
+    return twice[at]

@@ -26,8 +26,9 @@ LONG_WORD = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_KNIT = np.uint64(0x9FB21C651E98DF25)
+#: What a lane of 0 to 8 bytes keeps.
+_WITHIN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def give_back() -> None:
@@ -87,7 +88,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Byte starts and ends of all words, and for each row the index of its first word (n + 1 values)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~_SPACE[data]
+    solid = (data != 32) & (data - np.uint8(9) > 4)  # below 9 it wraps
     head = np.empty(len(data), bool)
     head[0], head[1:] = True, ~solid[:-1]
     inner = offs[1:-1]
@@ -117,17 +118,15 @@ def _hashed(padded: np.ndarray, lanes: np.ndarray, starts: np.ndarray, ends: np.
     start, odd, first, last = map(np.uint64, _KEYS[family])
     size = ends - starts
     value = size.astype(np.uint64) * odd + start
-    at, j = np.flatnonzero(size <= LONG_WORD), 0
-    while len(at):
-        lane, left = lanes[starts[at] + j], size[at] - j
-        part = left < 8
-        lane[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
-        v = (value[at] ^ lane) * first
+    at, j = slice(None), 0
+    while j == 0 or len(at):
+        v = (value[at] ^ lanes[starts[at] + j] & _WITHIN[np.minimum(size[at] - j, 8)]) * first
         v ^= v >> np.uint64(32)
         v *= last
         v ^= v >> np.uint64(29)
         value[at] = v
-        at, j = at[left > 8], j + 8
+        j += 8
+        at = np.flatnonzero((size > j) & (size <= LONG_WORD)) if j == 8 else at[size[at] > j]
     for i in np.flatnonzero(size > LONG_WORD):
         digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(start).to_bytes(8, "little")).digest()
         value[i] = int.from_bytes(digest, "little")
@@ -142,6 +141,27 @@ def _rolled(value: np.ndarray, word: np.ndarray) -> np.ndarray:
     return value
 
 
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k consecutive words, made from runs of 1, 2, 4, ... words; not those of ``windows``."""
+
+    def knit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        value = _rolled(left, right)  # a sum, in which runs that are sums themselves could change places
+        value *= _KNIT
+        value ^= value >> np.uint64(29)
+        return value
+
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    done, size, power, value = 0, 1, words, None
+    while True:
+        if k & size:
+            value = power if value is None else knit(value[: len(power) - done], power[done:])
+            done += size
+        if done == k:
+            return value[: len(words) - k + 1]
+        power, size = knit(power[:-size], power[size:]), 2 * size
+
+
 def windows(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k consecutive words inside a row, and the index of each run's first word."""
     n = len(words) - k + 1
