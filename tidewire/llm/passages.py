@@ -96,7 +96,7 @@ def drop_repeated_passages(docs: DataFrame, k: int = WINDOW, block_bytes: int =
                     yield pa.RecordBatch.from_arrays([
                         pa.array(shard[a]), pa.array(np.full(len(a), number)), pa.array(b - a), pa.array(shrink_marked(finger, shared, a, b), pa.binary()),
                     ], names=["shard", "block", "n", "fingers"])
-        give_back()
+                give_back()
 
     @tidy
     def estimate(table: pa.Table) -> pa.Table:

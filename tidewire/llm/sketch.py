@@ -77,7 +77,10 @@ def estimated_repeated(fingers: np.ndarray, shared: np.ndarray, bits: int = COUN
     """Which places in one range have a count of 2 or more; ``shared`` ones count twice. All that do have, and others only below FINGER_BITS."""
     at = (fingers >> (FINGER_BITS - bits)).astype(np.uint32)
     near = np.sort(at)
-    twice = np.zeros(1 << bits, bool)
-    twice[near[1:][near[1:] == near[:-1]]] = True
-    twice[at[shared]] = True
-    return twice[at]
+    twice = np.sort(np.r_[near[1:][near[1:] == near[:-1]], at[shared]])
+    bits_of = np.zeros((1 << bits) + 7 >> 3, np.uint8)  # a bit for each counter: a byte would be 64 MB in every worker
+    if len(twice):
+        byte = twice >> np.uint32(3)
+        a, _ = cuts(byte)
+        bits_of[byte[a]] = np.bitwise_or.reduceat(np.left_shift(1, twice & np.uint32(7)).astype(np.uint8), a)
+    return (bits_of[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
